@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tributary.llm import decontaminate
+from tributary.llm import decontaminate, langid, quality
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_quality": quality.op2_quality,
+    "op3_language_id": langid.op3_language_id,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
