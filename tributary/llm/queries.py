@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tributary.llm import decontaminate, langid, quality
+from tributary.llm import decontaminate, langid, licenses, mixing, quality
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_quality": quality.op2_quality,
     "op3_language_id": langid.op3_language_id,
+    "op9_license_scan": licenses.op9_license_scan,
+    "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op9_license_scan": licenses.ORACLE,
 }
