@@ -177,7 +177,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     """Writes the documents' ids to folder, in ascending order of doc_id."""
     spark = docs.sparkSession
     shared.tune(spark)
-    bytes_in = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    bytes_in = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, bytes_in // SHARD_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tie"))
     rows = rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
