@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tributary.llm import decontaminate, langid, licenses, mixing, quality, tokens
+from tributary.llm import chat, decontaminate, langid, licenses, media, mixing, quality, tokens
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_quality": quality.op2_quality,
     "op3_language_id": langid.op3_language_id,
+    "op5_media": media.op5_media,
+    "op6_chat": chat.op6_chat,
     "op7_token_ids": tokens.op7_token_ids,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_mixing": mixing.op10_mixing,
