@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tributary.llm import chat, decontaminate, langid, licenses, media, mixing, quality, tokens
+from tributary.llm import chat, decontaminate, langid, licenses, media, mixing, neardup, quality, tokens
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_media": media.op5_media,
     "op6_chat": chat.op6_chat,
     "op7_token_ids": tokens.op7_token_ids,
+    "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_mixing": mixing.op10_mixing,
 }
