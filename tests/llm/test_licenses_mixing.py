@@ -1,0 +1,131 @@
+import random
+import re
+
+from tests.oracle import actual, expected
+
+from tributary.llm import licenses, mixing
+
+
+def scan(spark, texts):
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, digest string")
+    rows = {x.row.doc_id: x for x in licenses.scan(docs).collect()}
+    assert len(rows) == len(texts)
+    return [rows[k] for k in range(len(texts))]
+
+
+MIT = next(t for name, t in licenses.NOTICES if name == "MIT" and len(t) > 500)
+
+
+def test_against_the_oracle(spark, small):
+    assert actual(licenses.op9_license_scan(spark, small)) == expected(licenses.ORACLE, small)
+
+
+def test_whole_texts(spark):
+    changed = "Copyright (c) 2021 Someone Else\r\n\r\n" + MIT.upper().replace(",", " -").replace("SUBLICENSE", "sub-license").replace("COPYRIGHT HOLDERS", "Copyright Owners")
+    rows = scan(spark, [MIT, changed, "  licenced under the APACHE licence, version 2.0!", MIT[:-30], "x " + MIT, None, "", "...", "© 2020 me\n"])
+    assert [x.license for x in rows] == ["MIT", "MIT", "Apache-2.0", None, None, None, None, None, None]
+    assert rows[0].digest == rows[1].digest and rows[5].digest is rows[6].digest is rows[7].digest is rows[8].digest is None
+
+
+def test_lines(spark):
+    rows = scan(spark, ["Some words.\nLicensed under the Apache License, Version 2.0.\nmore", "SPDX-License-Identifier: MIT\nx\nSPDX-License-Identifier: MIT\nThis work is licensed under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.0 by many", "word " * 100_000 + "\nReleased under the MIT License."])
+    assert [(x.n_lines, x.line_licenses) for x in rows] == [(1, "Apache-2.0"), (3, "GPL-3.0-only,MIT"), (0, ""), (1, "MIT")]
+
+
+def test_license_edges(spark):
+    docs = spark.createDataFrame([(1, MIT, "a"), (1, MIT, "a"), (None, MIT, None)], "doc_id long, text string, license string")
+    assert [x.license for x in licenses.scan(docs).collect()] == ["MIT"] * 3
+    assert licenses.scan(docs.where("1 = 0")).count() == 0
+
+
+def test_no_python_in_the_plan(spark, small):
+    plan = licenses.op9_license_scan(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
+# mixing
+
+SPACES = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute_targets(sizes):
+    """By steps of the rule, with no cleverness."""
+    order = sorted([x for x in sizes if x is not None]) + ([None] if None in sizes else [])
+    weight = dict(zip(order, [3, 1, 2] * len(order), strict=False))
+    fixed, left, free = {}, 1.5 * sum(sizes.values()), set(order)
+    while free:
+        share = {x: left * weight[x] / sum(weight[y] for y in free) for x in free}
+        over = {x for x in free if share[x] > 2 * sizes[x]}
+        if not over:
+            return fixed | share
+        for x in over:
+            fixed[x] = 2 * sizes[x]
+        left -= sum(fixed[x] for x in over)
+        free -= over
+    return fixed
+
+
+def check(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = mixing.copies(docs).collect()
+    assert len(found) == len(rows)
+    size = lambda t: len(SPACES.findall(t or ""))
+    sizes, biggest = {}, {}
+    for _, source, text in rows:
+        sizes[source] = sizes.get(source, 0) + size(text)
+        biggest[source] = max(biggest.get(source, 0), size(text))
+    want = brute_targets(sizes)
+    assert sorted(x["size"] for x in found) == sorted(size(t) for *_, t in rows)
+    assert all(x["copies"] in (0, 1, 2) for x in found)
+    by_id = {}
+    for doc_id, source, _ in rows:
+        by_id.setdefault(doc_id, source)
+    taken = {}
+    for x in found:
+        source = by_id[x.row.doc_id]
+        assert abs(x.target - want[source]) < 1e-6 and x.source_size == sizes[source]
+        taken[source] = taken.get(source, 0) + x["copies"] * x["size"]
+    for source, words in taken.items():
+        assert abs(words - want[source]) <= biggest[source], source
+    return docs, found
+
+
+def corpus(seed, n=600):
+    rng = random.Random(seed)
+    return [(k, rng.choice(["b", "a", "é", "c", "hot", "hot", "hot", "tiny"] if k else [None]), "w " * rng.choice([0, 1, 5, 30, 200])) for k in range(n)]
+
+
+def test_targets():
+    for seed in range(200):
+        rng = random.Random(seed)
+        sizes = {x: rng.choice([0, 1, 10, 1000]) for x in rng.sample([None, "", "a", "B", "é", "z", "aa", "😀"], rng.randrange(1, 8))}
+        got, want = mixing.targets(list(sizes.items())), brute_targets(sizes)
+        assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-6 for x in want)
+
+
+def test_sources_come_near_their_targets(spark):
+    for seed in range(2):
+        docs, found = check(spark, corpus(seed))
+        again = mixing.copies(docs.repartition(5)).collect()
+        assert sorted(map(str, found)) == sorted(map(str, again))
+
+
+def test_repeated_rows_are_cut_one_by_one(spark):
+    check(spark, [(1, "a", "x y z")] * 200 + [(2, "b", "w " * 50)] * 8)
+
+
+def test_mixing_edges(spark):
+    check(spark, [(1, None, None), (2, None, " \t\n"), (3, "a", "one"), (None, "b", "two words"), (4, "c", "word " * 50_000)])
+    none = spark.createDataFrame([], "doc_id long, source string, text string")
+    assert mixing.copies(none).count() == 0 and mixing.mix(none).columns == none.columns
+    assert mixing.copies(spark.createDataFrame([(1, "a", None)], none.schema)).collect()[0]["copies"] == 0
+
+
+def test_mix_repeats_rows(spark):
+    rows = [(*x, "mine") for x in corpus(9, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, copies string")
+    plan = {x.row.doc_id: x["copies"] for x in mixing.copies(docs.drop("copies")).collect()}
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    counts = {x.doc_id: x["count"] for x in mixed.groupBy("doc_id").count().collect()}
+    assert counts == {k: n for k, n in plan.items() if n}

@@ -75,7 +75,7 @@ Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
 ]
 
 # Spellings that count as the same, as they stand once canonical.
-SPELLINGS = [("license", "licence"), ("licensed", "licenced"), ("noncommercial", "non commercial"), ("sublicense", "sub license"), ("organization", "organisation"), ("authorized", "authorised"), ("acknowledgment", "acknowledgement"), ("v 2 0", "version 2 0"), ("v2 0", "version 2 0"), ("copyright holder", "copyright owner"), ("copyright holders", "copyright owners")]
+SPELLINGS = [("sub license", "sublicense"), ("sub licence", "sublicense"), ("sublicence", "sublicense"), ("license", "licence"), ("licensed", "licenced"), ("noncommercial", "non commercial"), ("organization", "organisation"), ("authorized", "authorised"), ("acknowledgment", "acknowledgement"), ("v 2 0", "version 2 0"), ("v2 0", "version 2 0"), ("copyright holder", "copyright owner"), ("copyright holders", "copyright owners")]
 
 #: Not within ASCII letters, digits, line feed, or U+0080 on: what becomes a space.
 _MARKS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
