@@ -33,7 +33,8 @@ from tributary.llm.textcore import as_bytes, pieces, prefix_hashes, range_hashes
 END_ID = 2
 BLOCK_IDS = 1 << 16
 PIECE = 1 << 20
-KEPT, KEPT_IDS, KEPT_BYTES = 2 << 20, 12 << 20, 48
+#: Segments that are kept at most, and the longest of them in bytes; at the limit those seen once since the last time go.
+KEPT, KEPT_BYTES = 1 << 19, 32
 #: Bytes of input for each output shard, about.
 SHARD_BYTES = 64 << 20
 
@@ -87,10 +88,18 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._forget()
+        self.keys, self.starts, self.sizes, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int16), np.zeros(0, np.uint32)
+        self.seen = np.zeros(0, bool)  # which were met again
 
     def _forget(self) -> None:
-        self.keys, self.starts, self.sizes, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        """Keeps what was met again; nothing if that is most of it."""
+        keep = np.flatnonzero(self.seen)
+        if len(keep) > KEPT // 2:
+            keep = keep[:0]
+        sizes = self.sizes[keep].astype(np.int64)
+        ends = np.cumsum(sizes)
+        self.pool = self.pool[np.repeat(self.starts[keep] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        self.keys, self.starts, self.sizes, self.seen = self.keys[keep], (ends - sizes).astype(np.int32), self.sizes[keep], np.zeros(len(keep), bool)
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -122,15 +131,22 @@ class Encoder:
         out = pool[np.repeat(where[which] - (total - per), per) + np.arange(total[-1])]
         bounds = np.searchsorted(starts, offsets)
         sums = np.concatenate([[0], total])
-        counts = sums[bounds[1:]] - sums[bounds[:-1]]
-        keep = new[~single[new]]
-        if len(self.keys) + len(keep) > KEPT or len(pool) > KEPT_IDS:
+        self.seen[at[known]] = True
+        short = ~single[new]
+        self._keep(kinds[new][short], sizes[short], fresh[np.repeat(short, sizes)])
+        return out, sums[bounds[1:]] - sums[bounds[:-1]]
+
+    def _keep(self, kinds: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        if len(self.keys) + len(kinds) > KEPT:
             self._forget()
-        else:
-            self.pool = pool
-            into = np.searchsorted(self.keys, kinds[keep])
-            self.keys, self.starts, self.sizes = (np.insert(a, into, b) for a, b in ((self.keys, kinds[keep]), (self.starts, where[keep]), (self.sizes, size[keep])))
-        return out, counts
+            return
+        starts = len(self.pool) + np.cumsum(sizes) - sizes
+        self.pool = np.concatenate([self.pool, ids])
+        into = np.searchsorted(self.keys, kinds)
+        self.keys = np.insert(self.keys, into, kinds)
+        self.starts = np.insert(self.starts, into, starts.astype(np.int32))
+        self.sizes = np.insert(self.sizes, into, sizes.astype(np.int16))
+        self.seen = np.insert(self.seen, into, False)
 
 
 @cache
