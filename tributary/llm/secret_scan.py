@@ -4,8 +4,8 @@ Tokens are runs of ASCII letters, digits, ``_ - . + /`` or characters from U+008
 is a sequence. Each token has hashed features: its shape and length, its word, its first four bytes, the two tokens before
 and the one after, how letters and digits change in it, and features of its file (shares of digits and of punctuation).
 A tag is O, B or I (outside, begin, inside a secret); I never follows O nor starts a line. Weights are learned by gradient
-descent on the exact log-likelihood, from at most ``SAMPLE`` snippets around base matches, as many snippets without one,
-and the latter again with made-up keys of well-known forms inside. Decoding is Viterbi over whole lines of any length: the
+descent on the exact log-likelihood, from at most ``SAMPLE`` snippets around base matches, as many snippets without one (out
+of about ``AHEAD * SAMPLE`` documents of least checksum), and the latter again with made-up keys of well-known forms inside. Decoding is Viterbi over whole lines of any length: the
 tokens of a batch are one chain that restarts at each line, cut in blocks; all blocks are solved side by side for each
 state they may begin in, joined by a chain over blocks, then traced back side by side. That is exact.
 
@@ -38,7 +38,7 @@ _CUES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 8, 16, 32
 
 LEAST = 8
-SAMPLE = 2000
+SAMPLE, AHEAD = 2000, 24
 CONTEXT, WIDTH = 160, 96
 SPACE = 1 << 16
 PIECE = 1 << 20
@@ -264,25 +264,29 @@ def _secret(text: bytes, start: int, kind: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) to (positive, rank, file, text): a snippet around a base match, and one without, of each row; a task keeps
-    the SAMPLE of least rank of either."""
+def _snippets(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """(text) to (positive, rank, file, text): a snippet of each row whose rank, the text's checksum, is at most `most`,
+    around a base match if it has one; a task keeps the SAMPLE of least rank with a match, and without."""
     kept: dict[bool, list] = {True: [], False: []}
     for batch in batches:
         data, offsets = as_bytes(batch.column(0))
         for low, high in pieces(offsets, PIECE):
             part, at = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+            ranks = [zlib.crc32(part[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            if min(ranks) > most:
+                continue
             found, chain = base(part, at), Chain(part, at)
-            for k in range(high - low):
+            for k, rank in enumerate(ranks):
+                if rank > most:
+                    continue
                 text = part[at[k] : at[k + 1]].tobytes()
-                rank = zlib.crc32(text)
                 middle = found[k][rank % len(found[k])][0] if found[k] else rank % max(1, len(text))
                 snippet = text[max(0, middle - CONTEXT) : middle + CONTEXT]
                 snippet = snippet.decode("utf-8", "ignore")
                 if snippet and bool(found[k]) == bool(base(*as_bytes(pa.array([snippet])))[0]):
                     kept[bool(found[k])].append((rank, int(chain.file[k]), snippet))
         for k, rows in kept.items():
-            kept[k] = sorted(rows)[:SAMPLE]
+            kept[k] = sorted(set(rows))[:SAMPLE]
     rows = [(k, *x) for k in kept for x in kept[k]]
     a, b, c, d = zip(*rows, strict=True) if rows else ((), (), (), ())
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.bool_()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.string())], names=["positive", "rank", "file", "text"])
@@ -291,8 +295,11 @@ def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, text: str = "text") -> Crf:
     """A model learned from at most SAMPLE snippets with a base match and as many without."""
     shared.tune(docs.sparkSession)
-    rows = shared.cut(docs.select(F.col(text).alias("text")).where("text <> ''").mapInArrow(_snippets, "positive boolean, rank long, file long, text string"))
-    least = lambda flag: [(x.file, x.text) for x in rows.where(F.col("positive") == flag).orderBy("rank", "text", "file").limit(SAMPLE).collect()]
+    # about AHEAD * SAMPLE rows are looked at, however many there are
+    most = int((1 << 32) * min(1.0, AHEAD * SAMPLE / max(1, docs.count())))
+    rows = shared.cut(docs.select(F.col(text).alias("text")).where("text <> ''").mapInArrow(lambda x: _snippets(x, most), "positive boolean, rank long, file long, text string"))
+    # the least are found by executors, so the driver gets SAMPLE rows whatever the number of tasks
+    least = lambda flag: [(x.file, x.text) for x in shared.cut(rows.where(F.col("positive") == flag).orderBy("rank", "text", "file").limit(SAMPLE)).collect()]
     rng = np.random.default_rng(11)
     lines: list[tuple[int, bytes, list[tuple[int, int]]]] = []
     for file, held in least(True):
