@@ -212,7 +212,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, text:
             x = features(batch.column(2), *held.value).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float32()))], names=["doc_id", "label", "x"])
 
-    sample = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    # first about twice as many by hash, so that what meets in one place does not grow with the labels
+    share = int((1 << 30) * min(1.0, 2 * train_rows / max(1, labels.count())))
+    sample = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")  # at most train_rows rows are broadcast
     found = rows.mapInArrow(run, "doc_id long, label int, x array<float>").groupBy("doc_id").agg(F.first("label").alias("label"), F.min("x").alias("x"))
     table = found.toArrow().sort_by("doc_id")
