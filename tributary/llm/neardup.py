@@ -8,9 +8,11 @@ changed word in a widely copied text would weigh as much as all the rest, and co
 1. Documents of equal words (a 128-bit digest) are one text from here on; the least doc_id stands for it.
 2. Each text draws ``BANDS * ROWS`` consistent weighted samples; equal with probability of the weighted Jaccard similarity.
    A band is a hash of ROWS samples. At similarity 0.8 a pair misses all bands with probability 0.0001.
-3. Texts that share a band meet at the band's leaders: the least and the greatest member by two hash orders, the second
-   salted by band. A band of any size gives at most two pairs a member, found by partial minima and maxima; no group is
-   ever gathered, and different bands give different second leaders.
+3. A band of at most ``ALL_PAIRS`` texts gives all its pairs. In a larger one each text meets the band's leaders: the least
+   member, the greatest by an order salted by band, and the ``MIDDLES`` whose own bands are the largest in sum. This is the
+   middle of a group: copies of one original each differ from it where they were edited, and from each other where either
+   was. That is three pairs a member, found by partial minima and maxima; no large group is ever gathered. A text that
+   agrees with a member of such a group without being near its leaders is compared, by samples, with all its members.
 4. A pair whose samples agree too little to be at the threshold (less than ``SIEVE`` of them) is dropped; the rest are
    verified on all their shingles: weighted or plain Jaccard similarity of 0.8 or more is a link.
 5. Classes are connected components of the links, by least label, with checkpoints; nothing of them is collected.
@@ -38,6 +40,12 @@ DF_BUCKETS = 1 << 18
 IDF_SPAN = 0.2
 #: A pair at similarity 0.8 agrees in less than this share of the samples with probability below 1e-6.
 SIEVE = 0.5
+#: Bands of at most so many texts give all their pairs; larger ones are led.
+ALL_PAIRS = 16
+#: Leaders from the middle of a larger band.
+MIDDLES = 1
+#: Shares of equal samples that make a provisional class, and a stray of one; members compared at once; pairs of a stray.
+SURE, STRAY, CHUNK, NEAREST = 0.85, 0.6, 4096, 12
 PIECE = 1 << 20
 U = np.uint64
 
@@ -194,14 +202,29 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """(low, high, agree): pairs of nodes that share a band with one of them as its leader, and the share of their samples
-    that is equal; at least SIEVE."""
+    """(low, high, agree): pairs of nodes that meet in a band, and the share of their samples that is equal, at least SIEVE."""
     bands = nodes.select("node", "samples").mapInArrow(_banded, "band long, node long")
-    leaders = bands.groupBy("band").agg(F.min("node").alias("a"), F.max(F.col("node").bitwiseXOR(F.col("band"))).alias("x"), F.max("node").alias("z"))
-    leaders = shared.cut(leaders.where("a < z").select("band", "a", F.col("x").bitwiseXOR(F.col("band")).alias("b")))
-    met = shared.cut(bands.join(leaders, "band").select("node", "a", "b").distinct())
-    pairs = met.select("node", F.col("a").alias("to")).unionByName(met.select("node", F.col("b").alias("to"))).where("node <> to")
-    pairs = pairs.select(F.least("node", "to").alias("low"), F.greatest("node", "to").alias("high")).distinct()
+    sizes = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max(F.col("node").bitwiseXOR(F.col("band"))).alias("x"), F.max("node").alias("z"))
+    sizes = shared.cut(sizes.where("a < z").select("band", "n", "a", F.col("x").bitwiseXOR(F.col("band")).alias("b")))
+    met = shared.cut(bands.join(sizes, "band"))
+    # small bands: all their pairs, at most ALL_PAIRS * (ALL_PAIRS - 1) / 2
+    groups = met.where(F.col("n") <= ALL_PAIRS).groupBy("band").agg(F.sort_array(F.collect_set("node")).alias("g"))
+    inner = F.flatten(F.transform("g", lambda x, i: F.transform(F.slice("g", i + 2, F.lit(ALL_PAIRS)), lambda y: F.struct(x.alias("low"), y.alias("high")))))
+    pairs = groups.select(F.explode(inner).alias("p")).select("p.low", "p.high")
+    # larger ones: each member with the leaders; the third is the member whose own bands are the largest in sum
+    large = met.where(F.col("n") > ALL_PAIRS)
+    score = met.groupBy("node").agg(F.sum("n").alias("score"))
+    large = shared.cut(large.join(score, "node"))
+    rest = large
+    for k in range(MIDDLES):
+        middle = shared.cut(rest.groupBy("band").agg(F.max(F.struct("score", "node")).alias("m")).select("band", F.col("m.node").alias(f"c{k}")))
+        rest = rest.join(middle, "band").where(F.col("node") != F.col(f"c{k}"))
+        large = large.join(middle, "band")
+    leaders = ["a", "b", *[f"c{k}" for k in range(MIDDLES)]]
+    stars = shared.cut(large.select("node", *leaders).distinct())
+    for leader in leaders:
+        pairs = pairs.unionByName(stars.where(f"node <> {leader}").select(F.least("node", leader).alias("low"), F.greatest("node", leader).alias("high")))
+    pairs = pairs.distinct()
     signs = nodes.select("node", "samples")
     pairs = pairs.join(signs.toDF("low", "one"), "low").join(signs.toDF("high", "two"), "high")
 
@@ -215,6 +238,46 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return shared.cut(pairs.select("low", "high", "one", "two").mapInArrow(agree, "low long, high long, agree double"))
 
 
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (label, chunk, role, node, samples) in order: members of a class, then strays; each stray's nearest members."""
+    group, members, grid = None, [], None
+    for batch in batches:
+        low, high, agree = [], [], []
+        found = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint32).reshape(-1, SAMPLES)
+        for k, (label, chunk, role, node) in enumerate(zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True)):
+            if group != (label, chunk):
+                group, members, grid = (label, chunk), [], None
+            if role == 0:
+                members.append((node, found[k].copy()))
+                continue
+            if grid is None:
+                grid = np.stack([x for _, x in members]) if members else np.zeros((0, SAMPLES), np.uint32)
+            same = (grid == found[k]).mean(axis=1)
+            for at in np.argsort(-same, kind="stable")[:NEAREST].tolist():
+                if same[at] >= SIEVE:
+                    low.append(min(node, members[at][0]))
+                    high.append(max(node, members[at][0]))
+                    agree.append(float(same[at]))
+        yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(agree, pa.float64())], names=["low", "high", "agree"])
+
+
+def rescued(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Further pairs (low, high, agree) for strays: texts that agree in STRAY of their samples with a member of a class that
+    they are not in yet, classes being made of pairs that agree in SURE. Each stray is compared with the samples of all
+    members, CHUNK at a time, and meets the nearest of each chunk."""
+    labels = components(pairs.where(F.col("agree") >= SURE))
+    ends = pairs.where(F.col("agree") >= STRAY).select(F.col("low").alias("stray"), F.col("high").alias("of")).unionByName(pairs.where(F.col("agree") >= STRAY).select(F.col("high").alias("stray"), F.col("low").alias("of")))
+    ends = shared.cut(ends.join(labels.toDF("of", "label"), "of"))
+    loose = shared.cut(ends.join(labels.toDF("stray", "own"), "stray", "left").where("own IS NULL OR own <> label").select("stray", "label").distinct())
+    sizes = labels.join(loose.select("label").distinct(), "label", "left_semi").groupBy("label").agg(F.count("*").alias("n"))
+    sizes = shared.cut(sizes.select("label", (F.floor((F.col("n") - 1) / CHUNK) + 1).cast("int").alias("chunks")))
+    members = shared.cut(labels.join(sizes, "label")).select("label", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), F.lit(0).alias("role"), "node")
+    strays = loose.join(sizes, "label").select("label", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"), F.col("stray").alias("node"))
+    rows = members.unionByName(strays).join(nodes.select("node", "samples"), "node").select("label", "chunk", "role", "node", "samples")
+    rows = rows.repartition("label", "chunk").sortWithinPartitions("label", "chunk", "role", "node")
+    return rows.mapInArrow(_nearest, "low long, high long, agree double")
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
     """Weighted and plain Jaccard similarity of two sorted arrays of shingles with weights."""
     both, x, y = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -260,7 +323,9 @@ def _verifier(held):
 
 def links(docs: DataFrame, nodes: DataFrame, idf, text: str = "text") -> DataFrame:
     """(low, high, similarity): the candidates that all their shingles confirm."""
-    pairs = candidates(nodes).select("low", "high", F.pmod(F.xxhash64("high"), F.lit(256)).alias("salt"))
+    met = candidates(nodes)
+    met = shared.cut(met.unionByName(rescued(nodes, met)).select("low", "high").distinct())
+    pairs = met.select("low", "high", F.pmod(F.xxhash64("high"), F.lit(256)).alias("salt"))
     ends = pairs.select("low", "salt", F.lit(1).alias("role"), F.col("high").alias("node")).unionByName(pairs.select("low", "salt").distinct().select("low", "salt", F.lit(0).alias("role"), F.col("low").alias("node")))
     ends = shared.cut(ends.join(nodes.select("node", F.col("doc_id").alias("of"), "digest"), "node"))
     held = docs.sparkSession.sparkContext.broadcast(idf)
