@@ -108,3 +108,11 @@ def test_random_indexing_against_brute_force():
     got = np.zeros_like(total)
     got[sums["bucket"].to_numpy()] = np.stack([sums[f"v{k}"].to_numpy() for k in range(quality.DIM)], axis=1)
     assert (got == total).all()
+
+
+def test_long_texts_are_counted_in_parts(monkeypatch):
+    text = "".join(np.random.default_rng(1).choice(list("abcé "), 1000))
+    whole = langid.counted([text])
+    for piece in (1, 2, 3, 7, 100, 999):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        assert (langid.counted([text]) == whole).all()

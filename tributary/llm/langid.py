@@ -31,8 +31,8 @@ KEEP_SCORE = 0.5
 LETTER = r"\p{L}"
 
 
-def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Row and bucket of every n-gram; lower case, digits alike, runs of spaces as they are."""
+def ngrams(texts: list[str], skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Row and bucket of every n-gram of lower-cased texts, but for those that end within the first `skip` characters."""
     joined = [t.lower() for t in texts]
     lengths = np.fromiter(map(len, joined), np.int64, len(joined))
     points = np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -45,6 +45,7 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h = h[:size] * np.uint64(0x100000001B3) + points[n - 1 :]
         if n in ORDERS:
             inside = row[:size] == row[n - 1 :]
+            inside[: max(0, skip - n + 1)] = False
             value = (mix(h + np.uint64(n)) >> np.uint64(50)).astype(np.int32)
             rows.append(row[:size][inside])
             out.append(value[inside])
@@ -57,20 +58,34 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
         yield low, high, [x or "" for x in column.slice(low, high - low).to_pylist()]
 
 
+def counted(texts: list[str]) -> np.ndarray:
+    """Counts of (row, bucket); one long text goes through in parts that overlap, and no n-gram counts twice."""
+    total = np.zeros(len(texts) * BUCKETS, np.int64)
+    over = max(ORDERS) - 1
+    if len(texts) == 1 and len(texts[0]) > PIECE:
+        for at in range(0, len(texts[0]), PIECE):
+            _, bucket = ngrams([texts[0][max(0, at - over) : at + PIECE]], skip=min(at, over))
+            total += np.bincount(bucket, minlength=BUCKETS)
+        return total
+    row, bucket = ngrams(texts)
+    return total + np.bincount(row.astype(np.int64) * BUCKETS + bucket, minlength=len(total))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to (lang, bucket, n), summed over a task; at most MAX_LANGS x BUCKETS numbers are held."""
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = batch.column(0).to_pylist()
         for low, high, texts in _texts(batch.column(1)):
-            names = sorted(set(langs[low:high]))
-            code = np.array([names.index(x) for x in langs[low:high]], np.int64)
-            row, bucket = ngrams(texts)
-            found = np.bincount(code[row] * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
-            for name, counts in zip(names, found, strict=True):
+            for name in sorted(set(langs[low:high])):
+                mine = [t for t, x in zip(texts, langs[low:high], strict=True) if x == name]
                 if name not in sums:
                     sums[name] = np.zeros(BUCKETS, np.int64)
-                sums[name] += counts
+                # a language's texts are one row; between two of them no n-gram counts
+                if len(mine) == 1:
+                    sums[name] += counted(mine)
+                else:
+                    sums[name] += np.bincount(ngrams(mine)[1], minlength=BUCKETS)
     for name, counts in sums.items():
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["lang", "bucket", "n"])
@@ -84,20 +99,18 @@ class Model:
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The best language of each text, and its posterior probability under equal priors."""
-        row, bucket = ngrams(texts)
         logs = np.zeros((len(texts), len(self.langs)))
-        if len(row):
-            # rows are few in a piece, so the counts are dense here and only their non-zero entries are scored
-            step = 256
-            for low in range(0, len(texts), step):
-                mine = (row >= low) & (row < low + step) if len(texts) > step else slice(None)
-                n = min(step, len(texts) - low)
-                counts = np.bincount((row[mine].astype(np.int64) - low) * BUCKETS + bucket[mine], minlength=n * BUCKETS)
-                at = np.flatnonzero(counts)
-                weighed = self.matrix[at & (BUCKETS - 1)] * counts[at, None]
-                owner = at // BUCKETS
-                first = np.flatnonzero(np.diff(owner, prepend=-1))
-                logs[low + owner[first]] = np.add.reduceat(weighed, first, axis=0)
+        step = 256
+        for low in range(0, len(texts), step):
+            # rows are few in a part, so the counts are dense here and only their non-zero entries are scored
+            counts = counted(texts[low : low + step])
+            at = np.flatnonzero(counts)
+            if not len(at):
+                continue
+            weighed = self.matrix[at & (BUCKETS - 1)] * counts[at, None]
+            owner = at // BUCKETS
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            logs[low + owner[first]] = np.add.reduceat(weighed, first, axis=0)
         best = np.argmax(logs, axis=1)
         odds = np.exp(logs - logs.max(axis=1, keepdims=True))
         return best, 1.0 / odds.sum(axis=1)

@@ -185,7 +185,7 @@ def figures(docs: DataFrame, text: str = "text") -> DataFrame:
             for name, low, high in zip(names, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 media = png(payload(data[low:high].tobytes()))
                 digest = hashlib.sha256(media).hexdigest()
-                page = f'<!DOCTYPE html><html><body><article><p>Document {name}</p><figure><img src="{SCHEME}{digest}" data-bytes="{high - low}" alt=""><figcaption>{markup.escape(f"text of {name}")}</figcaption></figure><p>{high - low} bytes</p></article></body></html>'
+                page = f'<!DOCTYPE html><html><body><article><p>Document {markup.escape(str(name))}</p><figure><img src="{SCHEME}{digest}" data-bytes="{high - low}" alt=""><figcaption>{high - low} bytes, {digest[:12]}</figcaption></figure><p>End</p></article></body></html>'
                 out.append((page, digest, None if digest in seen else media))
                 seen.add(digest)
             pages, digests, stored = zip(*out, strict=True) if out else ((), (), ())

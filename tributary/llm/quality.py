@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import shared
-from tributary.llm.textcore import BYTE_VALUES, as_bytes, mix, pieces, prefix_hashes, range_hashes, runs
+from tributary.llm.textcore import BYTE_VALUES, as_bytes, hashes, mix, pieces, runs
 
 BUCKETS, DIM, NONZERO, REACH = 1 << 13, 32, 2, 2
 TRAIN_ROWS = 20_000
-HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 24, 256, 3e-3, 1e-4
+HIDDEN, EPOCHS, BATCH, RATE, DECAY, SHRINK = 32, 40, 256, 3e-3, 1e-3, 4
 THRESHOLD = 0.3
 PIECE = 1 << 20
 
@@ -53,8 +53,7 @@ class Tokens:
         order = np.argsort(starts := np.concatenate([a, c]), kind="stable")
         self.starts, self.ends = starts[order], np.concatenate([b, d])[order]
         mark = np.concatenate([np.zeros(len(a), bool), np.ones(len(c), bool)])[order]
-        n = len(self.starts)
-        self.hashes = range_hashes(prefix_hashes(BYTE_VALUES[_FOLD[data]]), self.starts, self.ends) if n else np.zeros(0, np.uint64)
+        self.hashes = hashes(BYTE_VALUES[_FOLD], data, self.starts, self.ends)
         bounds = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(bounds)
         self.row = np.repeat(np.arange(len(self.counts)), self.counts)
@@ -178,10 +177,12 @@ class Network:
         self.temperature = 1.0
         logit, truth = self._logit(z[held]), y[held]
         loss = lambda t: float(np.mean(np.logaddexp(0, -np.where(truth > 0.5, 1, -1) * logit / t)))
-        self.temperature = min(np.geomspace(0.25, 8, 61), key=loss)
+        self.temperature = min(np.geomspace(1, 8, 31), key=loss)
 
     def _standard(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8)
+        """Inputs by mean and deviation; those of few words are drawn to the mean, as their shares say little."""
+        words = np.expm1(x[:, DIM + SHAPES])
+        return np.clip((x - self.mean) / self.scale, -8, 8) * np.sqrt(words / (words + SHRINK))[:, None]
 
     def _logit(self, z: np.ndarray) -> np.ndarray:
         return np.tanh(z @ self.p[0] + self.p[1]) @ self.p[2] + self.p[3]

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tributary.llm import shared
-from tributary.llm.textcore import BYTE_VALUES, as_bytes, mix, pieces, prefix_hashes, range_hashes, runs
+from tributary.llm.textcore import BYTE_VALUES, as_bytes, hashes, mix, pieces, runs
 
 # The base patterns.
 ASSIGN = re.compile(rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -105,9 +105,8 @@ class Chain:
             total = np.maximum(np.bincount(self.row, minlength=len(self.file)), 1)
             share = lambda mask: np.minimum(np.bincount(self.row[mask], minlength=len(self.file)) * 16 // total, 7)
             self.file = share(digit > 0) * 8 + share(body == 0)
-        folded = prefix_hashes(BYTE_VALUES[_FOLD[data]])
-        word = range_hashes(folded, self.starts, self.ends) if n else np.zeros(0, np.uint64)
-        head = range_hashes(prefix_hashes(BYTE_VALUES[data]), self.starts, np.minimum(self.starts + 4, self.ends)) if n else word
+        word = hashes(BYTE_VALUES[_FOLD], data, self.starts, self.ends)
+        head = hashes(BYTE_VALUES, data, self.starts, np.minimum(self.starts + 4, self.ends))
         near = lambda by: np.concatenate([np.zeros(by, np.uint64), word[:-by]]) if n > by else np.zeros(n, np.uint64)
         before, before2 = near(1), near(2)
         after = np.concatenate([word[1:], np.zeros(min(n, 1), np.uint64)])

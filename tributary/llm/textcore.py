@@ -104,6 +104,23 @@ def range_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mix(h)
 
 
+#: Bytes of a long text whose prefix sums are held at once.
+SPAN = 1 << 20
+
+
+def hashes(table: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges, in order and apart, a span of the text at a time; table gives each byte's value."""
+    out = np.empty(len(starts), np.uint64)
+    low = 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(starts, starts[low] + SPAN)))
+        first = starts[low]
+        prefix = prefix_hashes(table[data[first : ends[high - 1]]])
+        out[low:high] = range_hashes(prefix, starts[low:high] - first, ends[low:high] - first)
+        low = high
+    return out
+
+
 def _word_table() -> np.ndarray:
     """Lower-cased byte of a word, or 0: digits, letters, and every byte of a character from U+0080."""
     out = np.zeros(256, np.uint8)
@@ -126,7 +143,7 @@ class Words:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.low = WORD[data]
         self.starts, self.ends = runs(self.low != 0, offsets[:-1])
-        self.hashes = range_hashes(prefix_hashes(BYTE_VALUES[self.low]), self.starts, self.ends) if len(self.starts) else np.zeros(0, np.uint64)
+        self.hashes = hashes(BYTE_VALUES, self.low, self.starts, self.ends)
         bounds = np.searchsorted(self.starts, offsets)
         self.first, self.counts = bounds[:-1], np.diff(bounds)
         self.row = np.repeat(np.arange(len(self.counts)), self.counts)

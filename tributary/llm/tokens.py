@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import shared, simple8b
-from tributary.llm.textcore import as_bytes, pieces, prefix_hashes, range_hashes
+from tributary.llm.textcore import as_bytes, hashes, pieces
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
@@ -112,9 +112,9 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(rows, np.int64)
         ends = np.append(starts[1:], len(data))
         long = ends - starts > KEPT_BYTES
-        hashes = range_hashes(prefix_hashes(_VALUES[data]), starts, ends)
-        hashes[long] = np.flatnonzero(long).astype(np.uint64)  # apart from all others of this call
-        kinds, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        keys = hashes(_VALUES, data, starts, ends)
+        keys[long] = np.flatnonzero(long).astype(np.uint64)  # apart from all others of this call
+        kinds, first, which = np.unique(keys, return_index=True, return_inverse=True)
         single = long[first]
         at = np.minimum(np.searchsorted(self.keys, kinds), max(len(self.keys) - 1, 0))
         known = (self.keys[at] == kinds) & ~single if len(self.keys) else np.zeros(len(kinds), bool)
