@@ -45,7 +45,7 @@ ALL_PAIRS = 16
 #: Leaders from the middle of a larger band.
 MIDDLES = 1
 #: Shares of equal samples that make a provisional class, and a stray of one; members compared at once; pairs of a stray.
-SURE, STRAY, CHUNK, NEAREST = 0.85, 0.6, 4096, 12
+SURE, STRAY, CHUNK, NEAREST = 0.85, 0.6, 512, 6
 PIECE = 1 << 20
 U = np.uint64
 
