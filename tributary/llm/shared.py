@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch sent to Python; whole texts travel, so fewer rows than Spark's default bound memory.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def tune(spark: SparkSession) -> None:
