@@ -73,6 +73,24 @@ def test_a_large_group_and_a_common_passage(spark):
     assert all(named[k] == k for k in range(300, 600))
 
 
+def test_links_within_a_large_group_of_one_template(spark):
+    rng = random.Random(8)
+    template, fresh = text(rng, 89), iter(range(10**6))
+    own = lambda n: "".join(f" own{next(fresh)}" for _ in range(n))
+    rows = []
+    for _ in range(300):  # 85 of 100 shingles are everybody's (0.74); a pair has 91 in common (0.835)
+        pair = template + own(6)
+        rows += [pair + own(9), pair + own(9)]
+    rng.shuffle(rows)
+    check(spark, list(enumerate(rows)))
+
+
+def test_blocks_of_several_chunks_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(op, "CHUNK", 40)
+    monkeypatch.setattr(op, "STREAM", 50)
+    test_links_within_a_large_group_of_one_template(spark)
+
+
 def test_edges(spark):
     rng = random.Random(6)
     long = text(rng, 30_000)

@@ -11,11 +11,13 @@ changed word in a widely copied text would weigh as much as all the rest, and co
 3. A band of at most ``ALL_PAIRS`` texts gives all its pairs. In a larger one each text meets the band's leaders: the least
    member, the greatest by an order salted by band, and the ``MIDDLES`` whose own bands are the largest in sum. This is the
    middle of a group: copies of one original each differ from it where they were edited, and from each other where either
-   was. That is three pairs a member, found by partial minima and maxima; no large group is ever gathered. A text that
-   agrees with a member of such a group without being near its leaders is compared, by samples, with all its members.
+   was. That is three pairs a member, found by partial minima and maxima; no large group is ever gathered.
 4. A pair whose samples agree too little to be at the threshold (less than ``SIEVE`` of them) is dropped; the rest are
    verified on all their shingles: weighted or plain Jaccard similarity of 0.8 or more is a link.
-5. Classes are connected components of the links, by least label, with checkpoints; nothing of them is collected.
+5. Members of a larger band whom these links leave in different components are compared each with each, in blocks of
+   ``CHUNK`` texts, and verified likewise. Only pairs that a class joins already are left out; of a band's largest component
+   no member is compared with another. What is left grows with the square of the texts that share bands without links.
+6. Classes are connected components of the links, by least label, with checkpoints; nothing of them is collected.
 
 Defined cases: a text without words (null, empty, marks only) is a class of its own row; equal rows are one class; a null
 doc_id can be a member, and stands for a class only if all its ids are null; ties go to the least doc_id.
@@ -44,8 +46,8 @@ SIEVE = 0.5
 ALL_PAIRS = 16
 #: Leaders from the middle of a larger band.
 MIDDLES = 1
-#: Shares of equal samples that make a provisional class, and a stray of one; members compared at once; pairs of a stray.
-SURE, STRAY, CHUNK, NEAREST = 0.85, 0.6, 512, 6
+#: Texts and shingles of a block's held side, and texts of its other side, on average.
+CHUNK, CHUNK_SHINGLES, STREAM = 512, 1 << 18, 2048
 PIECE = 1 << 20
 U = np.uint64
 
@@ -170,22 +172,23 @@ def _signer(held):
                 first = np.flatnonzero(np.diff(row, prepend=-1))
                 found = samples(value, (1 + np.log(counts)) * idf[_bucket(value)], first)
                 keys, signs = [None] * (high - low), [None] * (high - low)
+                sizes = np.bincount(row, minlength=high - low)
                 for k, r in enumerate(row[first].tolist()):
                     keys[r], signs[r] = digests[r].tobytes(), found[k].tobytes()
                 part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], names=["doc_id", "content", "digest", "samples"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(signs, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "content", "digest", "samples", "size"])
 
     return run
 
 
 def texts(docs: DataFrame, idf: np.ndarray, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, content, digest) of all rows, digest null without words; and nodes (node, doc_id, digest, samples),
-    one for each distinct text. content is a hash of the text as it is."""
+    """Members (doc_id, content, digest) of all rows, digest null without words; and nodes (node, doc_id, digest, samples,
+    size), one for each distinct text; size is its number of distinct shingles. content is a hash of the text as it is."""
     held = docs.sparkSession.sparkContext.broadcast(idf)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("content"), F.col(text).alias("text"))
-    signed = shared.cut(rows.mapInArrow(_signer(held), "doc_id long, content long, digest binary, samples binary"))
-    nodes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("samples").alias("samples"))
-    nodes = shared.cut(nodes.select(F.monotonically_increasing_id().alias("node"), "doc_id", "digest", "samples"))
+    signed = shared.cut(rows.mapInArrow(_signer(held), "doc_id long, content long, digest binary, samples binary, size long"))
+    nodes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("samples").alias("samples"), F.min("size").alias("size"))
+    nodes = shared.cut(nodes.select(F.monotonically_increasing_id().alias("node"), "doc_id", "digest", "samples", "size"))
     return signed.select("doc_id", "content", "digest"), nodes
 
 
@@ -198,12 +201,13 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (n, 1))
         for k in range(ROWS):
             band = mix(band * U(0xD1342543DE82EF95) + found[:, :, k])
-        yield pa.RecordBatch.from_arrays([pa.array(band.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["band", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(band.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n))], names=["band", "node", "place"])
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(low, high, agree): pairs of nodes that meet in a band, and the share of their samples that is equal, at least SIEVE."""
-    bands = nodes.select("node", "samples").mapInArrow(_banded, "band long, node long")
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(low, high): pairs of small bands and with leaders of larger ones, of whose samples at least SIEVE are equal; and
+    (band, place, node): the members of larger bands."""
+    bands = nodes.select("node", "samples").mapInArrow(_banded, "band long, node long, place int")
     sizes = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max(F.col("node").bitwiseXOR(F.col("band"))).alias("x"), F.max("node").alias("z"))
     sizes = shared.cut(sizes.where("a < z").select("band", "n", "a", F.col("x").bitwiseXOR(F.col("band")).alias("b")))
     met = shared.cut(bands.join(sizes, "band"))
@@ -213,6 +217,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
     pairs = groups.select(F.explode(inner).alias("p")).select("p.low", "p.high")
     # larger ones: each member with the leaders; the third is the member whose own bands are the largest in sum
     large = met.where(F.col("n") > ALL_PAIRS)
+    members = large.select("band", "place", "node")
     score = met.groupBy("node").agg(F.sum("n").alias("score"))
     large = shared.cut(large.join(score, "node"))
     rest = large
@@ -233,49 +238,9 @@ def candidates(nodes: DataFrame) -> DataFrame:
             one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, SAMPLES) for k in (2, 3))
             same = (one == two).mean(axis=1)
             keep = np.flatnonzero(same >= SIEVE)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(same[keep])], names=["low", "high", "agree"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], names=["low", "high"])
 
-    return shared.cut(pairs.select("low", "high", "one", "two").mapInArrow(agree, "low long, high long, agree double"))
-
-
-def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (label, chunk, role, node, samples) in order: members of a class, then strays; each stray's nearest members."""
-    group, members, grid = None, [], None
-    for batch in batches:
-        low, high, agree = [], [], []
-        found = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint32).reshape(-1, SAMPLES)
-        for k, (label, chunk, role, node) in enumerate(zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True)):
-            if group != (label, chunk):
-                group, members, grid = (label, chunk), [], None
-            if role == 0:
-                members.append((node, found[k].copy()))
-                continue
-            if grid is None:
-                grid = np.stack([x for _, x in members]) if members else np.zeros((0, SAMPLES), np.uint32)
-            same = (grid == found[k]).mean(axis=1)
-            for at in np.argsort(-same, kind="stable")[:NEAREST].tolist():
-                if same[at] >= SIEVE:
-                    low.append(min(node, members[at][0]))
-                    high.append(max(node, members[at][0]))
-                    agree.append(float(same[at]))
-        yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(agree, pa.float64())], names=["low", "high", "agree"])
-
-
-def rescued(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Further pairs (low, high, agree) for strays: texts that agree in STRAY of their samples with a member of a class that
-    they are not in yet, classes being made of pairs that agree in SURE. Each stray is compared with the samples of all
-    members, CHUNK at a time, and meets the nearest of each chunk."""
-    labels = components(pairs.where(F.col("agree") >= SURE))
-    ends = pairs.where(F.col("agree") >= STRAY).select(F.col("low").alias("stray"), F.col("high").alias("of")).unionByName(pairs.where(F.col("agree") >= STRAY).select(F.col("high").alias("stray"), F.col("low").alias("of")))
-    ends = shared.cut(ends.join(labels.toDF("of", "label"), "of"))
-    loose = shared.cut(ends.join(labels.toDF("stray", "own"), "stray", "left").where("own IS NULL OR own <> label").select("stray", "label").distinct())
-    sizes = labels.join(loose.select("label").distinct(), "label", "left_semi").groupBy("label").agg(F.count("*").alias("n"))
-    sizes = shared.cut(sizes.select("label", (F.floor((F.col("n") - 1) / CHUNK) + 1).cast("int").alias("chunks")))
-    members = shared.cut(labels.join(sizes, "label")).select("label", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), F.lit(0).alias("role"), "node")
-    strays = loose.join(sizes, "label").select("label", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"), F.col("stray").alias("node"))
-    rows = members.unionByName(strays).join(nodes.select("node", "samples"), "node").select("label", "chunk", "role", "node", "samples")
-    rows = rows.repartition("label", "chunk").sortWithinPartitions("label", "chunk", "role", "node")
-    return rows.mapInArrow(_nearest, "low long, high long, agree double")
+    return shared.cut(pairs.select("low", "high", "one", "two").mapInArrow(agree, "low long, high long")), members
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
@@ -321,18 +286,116 @@ def _verifier(held):
     return run
 
 
+class _Block:
+    """Texts that others are compared with: (node, label, samples, shingles, weights) of each."""
+
+    def __init__(self, held: list[tuple]):
+        self.nodes, self.labels = (np.array([x[k] for x in held], np.int64) for k in (0, 1))
+        self.samples = np.stack([x[2] for x in held])
+        self.sizes = np.array([len(x[3]) for x in held])
+        self.firsts = np.cumsum(self.sizes) - self.sizes
+        self.names, self.ids = np.unique(np.concatenate([x[3] for x in held]), return_inverse=True)
+        self.weights = np.concatenate([x[4] for x in held])
+        self.totals = np.add.reduceat(self.weights, self.firsts)
+        self.other = np.zeros(len(self.names))
+
+    def links(self, place: int, alone: bool, node: int, label: int, signs: np.ndarray, value: np.ndarray, weight: np.ndarray) -> list[tuple[int, int, float]]:
+        """Links of a text to those held of other labels; a pair is looked at in its first common band only, and once if both are held."""
+        same = self.samples == signs
+        first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+        wanted = (same.mean(axis=1) >= SIEVE) & (self.labels != label) & (first == place)
+        pick = np.flatnonzero(wanted if alone else wanted & (self.nodes < node))
+        if not len(pick):
+            return []
+        at = np.minimum(np.searchsorted(self.names, value), len(self.names) - 1)
+        known = self.names[at] == value
+        self.other[at[known]] = weight[known]
+        sizes = self.sizes[pick]
+        starts = np.cumsum(sizes) - sizes
+        which = np.repeat(self.firsts[pick] - starts, sizes) + np.arange(sizes.sum())
+        theirs = self.other[self.ids[which]]
+        self.other[at[known]] = 0
+        least = np.add.reduceat(np.minimum(theirs, self.weights[which]), starts)
+        both = np.add.reduceat((theirs > 0).astype(np.int64), starts)
+        found = np.maximum(least / (self.totals[pick] + weight.sum() - least), both / (sizes + len(value) - both))
+        near = found >= THRESHOLD
+        return [(min(node, x), max(node, x), y) for x, y in zip(self.nodes[pick[near]].tolist(), found[near].tolist(), strict=True)]
+
+
+def _crosser(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in order of (band, chunk, part, role, node): the texts of a block, then those to compare with all of them."""
+        idf = held.value
+        group, last, members, block = None, None, [], None
+        for batch in batches:
+            column = batch.schema.get_field_index
+            data, offsets = as_bytes(batch.column(column("text")))
+            signs = np.frombuffer(b"".join(batch.column(column("samples")).to_pylist()), np.uint32).reshape(-1, SAMPLES)
+            heads = list(zip(*[batch.column(column(x)).to_pylist() for x in ("band", "chunk", "part", "role", "node", "place", "alone", "label", "digest")], strict=True))
+            links: list[tuple[int, int, float]] = []
+            for low, high in pieces(offsets, PIECE):
+                row, value, counts, digests = shingles(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                weight = (1 + np.log(counts)) * idf[_bucket(value)]
+                bounds = np.searchsorted(row, np.arange(high - low + 1))
+                for k in range(high - low):
+                    *key, role, node, place, alone, label, digest = heads[low + k]
+                    if digests[k].tobytes() != digest:
+                        continue  # another text under the same doc_id
+                    if (key, role, node) == last:
+                        continue  # a repeated row
+                    last = (key, role, node)
+                    if group != key:
+                        group, members, block = key, [], None
+                    part = slice(bounds[k], bounds[k + 1])
+                    if role == 0:
+                        members.append((node, label, signs[low + k].copy(), value[part].copy(), weight[part].copy()))
+                    elif members:
+                        block = block or _Block(members)
+                        links += block.links(place, alone, node, label, signs[low + k], value[part], weight[part])
+            a, b, c = zip(*links, strict=True) if links else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["low", "high", "similarity"])
+
+    return run
+
+
+def _texts_of(docs: DataFrame, ends: DataFrame, text: str) -> DataFrame:
+    """Rows of ends (of, ...) with the texts of that doc_id."""
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
+    return wanted.join(ends, F.col("doc_id").eqNullSafe(F.col("of")))
+
+
+def crossed(docs: DataFrame, nodes: DataFrame, idf, members: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
+    """(low, high, similarity): all links between members (band, place, node) of one band that the links found so far leave in
+    different components. Members outside the band's largest component are held, CHUNK to a block; all members meet them."""
+    labels = members.join(components(found), "node", "left").join(nodes.select("node", "size"), "node")
+    labels = shared.cut(labels.select("band", "place", "node", "size", F.coalesce("label", "node").alias("label")))
+    counts = labels.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    bands = counts.groupBy("band").agg(F.max(F.struct("n", "size", "label")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size")).where("n > main.n")
+    chunks = F.greatest(F.ceil((F.col("n") - F.col("main.n")) / CHUNK), F.ceil((F.col("size") - F.col("main.size")) / CHUNK_SHINGLES)).cast("int")
+    bands = shared.cut(bands.select("band", F.col("main.label").alias("main"), chunks.alias("chunks"), F.ceil(F.col("n") / STREAM).cast("int").alias("parts")))
+    rows = shared.cut(labels.join(bands, "band").withColumn("alone", F.col("label") == F.col("main")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = ["band", "place", "node", "label", "alone"]
+    kept = rows.where("NOT alone").select(*names, F.lit(0).alias("role"), F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), every("parts").alias("part"))
+    met = rows.select(*names, F.lit(1).alias("role"), every("chunks").alias("chunk"), F.pmod(F.hash("node"), "parts").cast("int").alias("part"))
+    ends = kept.unionByName(met).join(nodes.select("node", F.col("doc_id").alias("of"), "digest", "samples"), "node")
+    held = docs.sparkSession.sparkContext.broadcast(idf)
+    rows = _texts_of(docs, ends, text).select(*names, "role", "chunk", "part", "digest", "samples", "text")
+    rows = rows.repartition("band", "chunk", "part").sortWithinPartitions("band", "chunk", "part", "role", "node")
+    return shared.cut(rows.mapInArrow(_crosser(held), "low long, high long, similarity double"))
+
+
 def links(docs: DataFrame, nodes: DataFrame, idf, text: str = "text") -> DataFrame:
-    """(low, high, similarity): the candidates that all their shingles confirm."""
-    met = candidates(nodes)
-    met = shared.cut(met.unionByName(rescued(nodes, met)).select("low", "high").distinct())
+    """(low, high, similarity): the candidates that all their shingles confirm, and further links within larger bands."""
+    met, members = candidates(nodes)
     pairs = met.select("low", "high", F.pmod(F.xxhash64("high"), F.lit(256)).alias("salt"))
     ends = pairs.select("low", "salt", F.lit(1).alias("role"), F.col("high").alias("node")).unionByName(pairs.select("low", "salt").distinct().select("low", "salt", F.lit(0).alias("role"), F.col("low").alias("node")))
     ends = shared.cut(ends.join(nodes.select("node", F.col("doc_id").alias("of"), "digest"), "node"))
     held = docs.sparkSession.sparkContext.broadcast(idf)
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
-    rows = wanted.join(ends, F.col("doc_id").eqNullSafe(F.col("of"))).select("low", "salt", "role", "node", "digest", "text")
+    rows = _texts_of(docs, ends, text).select("low", "salt", "role", "node", "digest", "text")
     rows = rows.repartition("low", "salt").sortWithinPartitions("low", "salt", "role", "node")
-    return shared.cut(rows.mapInArrow(_verifier(held), "low long, high long, similarity double"))
+    found = shared.cut(rows.mapInArrow(_verifier(held), "low long, high long, similarity double"))
+    return found.unionByName(crossed(docs, nodes, idf, members, found, text))
 
 
 def components(found: DataFrame, low: str = "low", high: str = "high") -> DataFrame:
