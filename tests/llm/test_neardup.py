@@ -91,6 +91,17 @@ def test_blocks_of_several_chunks_and_parts(spark, monkeypatch):
     test_links_within_a_large_group_of_one_template(spark)
 
 
+def test_a_block_links_every_member_and_not_only_the_nearest():
+    g = np.random.default_rng(3)
+    base = np.sort(g.integers(0, 1 << 63, 100).astype(np.uint64))
+    signs, weight = np.zeros(op.SAMPLES, np.uint32), np.ones(100)
+    far = np.where(np.arange(op.SAMPLES) < 44, 0, 1).astype(np.uint32)  # estimates far below those of the others
+    held = [(k, k, signs if k else far, base, weight) for k in range(30)]
+    assert [x[:2] for x in op._Block(held).links(0, False, 50, 50, signs, base, weight)] == [(k, 50) for k in range(30)]
+    assert op._Block(held).links(1, False, 50, 50, signs, base, weight) == []
+    assert [x[:2] for x in op._Block(held).links(0, False, 10, 5, signs, base, weight)] == [(k, 10) for k in range(10) if k != 5]
+
+
 def test_edges(spark):
     rng = random.Random(6)
     long = text(rng, 30_000)
