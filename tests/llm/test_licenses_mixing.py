@@ -32,6 +32,16 @@ def test_lines(spark):
     assert [(x.n_lines, x.line_licenses) for x in rows] == [(1, "Apache-2.0"), (3, "GPL-3.0-only,MIT"), (0, ""), (1, "MIT")]
 
 
+def test_whole_texts_of_other_licences_and_short_notices(spark):
+    texts = {name: text for name, text in licenses._texts()}
+    names = ["Apache-2.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "Unlicense"]
+    bsd = next(t for name, t in licenses.NOTICES if name == "BSD-3-Clause" and "\n" in t)
+    rows = scan(spark, [texts[x] for x in names] + ["BSD 3-Clause License\n\nCopyright (c) 2020, Someone\n\n" + bsd, texts["Apache-2.0"].replace("\n", " "), texts["Unlicense"][:-100]])
+    assert [x.license for x in rows] == [*names, "BSD-3-Clause", "Apache-2.0", None]
+    lines = ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", "SPDX-License-Identifier: GPL-2.0-or-later", "Licensed under the MPL 2.0", "Licensed under CC BY-NC 4.0 or not"]
+    assert [x.line_licenses for x in scan(spark, ["words\n" + x for x in lines])] == ["CC-BY-NC-4.0", "CC-BY-SA-3.0", "GPL-2.0-or-later", "MPL-2.0", ""]
+
+
 def test_license_edges(spark):
     docs = spark.createDataFrame([(1, MIT, "a"), (1, MIT, "a"), (None, MIT, None)], "doc_id long, text string, license string")
     assert [x.license for x in licenses.scan(docs).collect()] == ["MIT"] * 3

@@ -6,12 +6,18 @@ is hash-joined to the digests of known licence texts and notices, made canonical
 is made for each line, as notices stand on lines of their own; a document's lines never leave its row, as the known
 digests of lines (a table of fixed size) are a literal map.
 
+Whole texts are those of ``license_texts`` and of ``NOTICES``, with and without their usual titles; notices are ``NOTICES`` and
+the usual forms of the names in ``NAMES`` and of the Creative Commons licences. No other text or form is known.
+
 Defined cases: a null text, or one that is nothing once canonical, has a null digest and matches nothing; repeated rows
 each give a row; other columns, whatever their names, are not touched.
 """
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,9 +80,67 @@ Permission is granted to anyone to use this software for any purpose, including
 Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
 ]
 
+_WARRANTY = next(text for name, text in NOTICES if name == "BSD-2-Clause" and "\n" in text).partition("THIS SOFTWARE")
+_NEITHER = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+NOTICES.append(("BSD-3-Clause", _WARRANTY[0] + "3. " + _NEITHER + "\n\n" + _WARRANTY[1] + _WARRANTY[2]))
+
+# Usual names of licences, as they stand in notices.
+NAMES = [
+    ("MIT", "MIT License"), ("Apache-2.0", "Apache License 2.0"), ("Apache-2.0", "Apache License, Version 2.0"), ("Apache-2.0", "Apache 2.0 License"), ("Apache-2.0", "Apache-2.0 License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("BSD-2-Clause", "2-Clause BSD License"), ("BSD-3-Clause", "3-Clause BSD License"), ("ISC", "ISC License"), ("Zlib", "zlib License"),
+    ("MPL-1.1", "Mozilla Public License, version 1.1"), ("MPL-2.0", "Mozilla Public License, version 2.0"), ("MPL-2.0", "Mozilla Public License 2.0"), ("MPL-2.0", "MPL 2.0"), ("OFL-1.1", "SIL Open Font License, Version 1.1"), ("Unlicense", "Unlicense"),
+    *[(f"{short}-{v}.0-only", form) for short, name, versions in (("GPL", "General", (1, 2, 3)), ("LGPL", "Lesser General", (3,)), ("AGPL", "Affero General", (3,))) for v in versions for form in (f"GNU {name} Public License, version {v}", f"GNU {name} Public License v{v}", f"GNU {name} Public License v{v}.0", f"GNU {short}v{v}", f"{short}v{v}", f"{short}-{v}.0", f"GNU {short} v{v}", f"GNU {short} version {v}")],
+    *[("LGPL-2.1-only", form) for form in ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1", "LGPL-2.1")],
+]
+_OR_LATER = ("GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+_CC_VERSIONS = {"4.0": "International", "3.0": "Unported", "2.5": "Generic", "2.0": "Generic"}
+_VERBS = ("Licensed under", "Released under", "Distributed under", "This work is licensed under", "This software is licensed under", "This project is licensed under")
+_TITLES = {"MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"), "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License"), "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License"), "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License")}
+
+
+def _texts() -> list[tuple[str, str]]:
+    """The files of license_texts; a file's name is the licence's, and for another version of the text ~ and a number."""
+    files = sorted((x for x in resources.files(__package__).joinpath("license_texts").iterdir() if x.name.endswith(".txt")), key=lambda x: x.name)
+    return [(x.name.removesuffix(".txt").partition("~")[0], x.read_text("utf-8")) for x in files]
+
+
+def _forms() -> list[tuple[str, str]]:
+    """Usual forms: notices by name and abbreviation, identifiers, whole texts without what often is left out."""
+    out = [(name, f"{verb} {the}{form}.") for name, form in NAMES for verb in _VERBS for the in ("the ", "")]
+    for code, words in _CC.items():
+        for version, kind in _CC_VERSIONS.items():
+            name = f"CC-{code}-{version}"
+            long = f"Creative Commons {words} {version}"
+            for form in (f"CC {code} {version}", f"CC {code} {version} License", long, f"{long} License", f"{long} {kind} License", f"{long} {kind}"):
+                out += [(name, f"{verb} {article}{form}.") for verb in _VERBS for article in ("", "a ", "the ")]
+            out += [(name, f"SPDX-License-Identifier: {name}")]
+    out += [("CC0-1.0", f"{verb} {form}.") for verb in _VERBS for form in ("CC0 1.0", "CC0 1.0 Universal", "the CC0 1.0 Universal License", "Creative Commons Zero v1.0 Universal")]
+    whole = [x for x in NOTICES if "\n" in x[1] and x[0] in _TITLES] + _texts()
+    ids = {name for name, _ in NOTICES + NAMES + whole} | {f"{x}-{y}" for x in _OR_LATER for y in ("only", "or-later")}
+    out += [(name, f"SPDX-License-Identifier: {name}") for name in sorted(ids)]
+    for name, text in whole:
+        body = text.removeprefix("MIT License\n\n")
+        bodies = [body]
+        if name.startswith("BSD-"):
+            bodies.append(re.sub(r"^[123]\. ", "* ", body, flags=re.M))
+        if name == "Apache-2.0":
+            bodies += [body.partition("APPENDIX: How to apply")[0]]
+        if name == "Unlicense":
+            bodies += [body.partition("For more information")[0], body.replace("http://unlicense.org", "https://unlicense.org")]
+        if name.startswith(("GPL-", "LGPL-")) and "END OF TERMS AND CONDITIONS" in body:
+            bodies += [body.partition("END OF TERMS AND CONDITIONS")[0] + "END OF TERMS AND CONDITIONS"]
+        out += [(name, x) for x in bodies] + [(name, f"{title}\n\n{x}") for x in bodies for title in _TITLES.get(name, ())]
+    return out
+
+
+NOTICES = list(dict.fromkeys(NOTICES + _forms()))
+
 # Spellings that count as the same, as they stand once canonical.
 SPELLINGS = [("sub license", "sublicense"), ("sub licence", "sublicense"), ("sublicence", "sublicense"), ("license", "licence"), ("licensed", "licenced"), ("noncommercial", "non commercial"), ("organization", "organisation"), ("authorized", "authorised"), ("acknowledgment", "acknowledgement"), ("v 2 0", "version 2 0"), ("v2 0", "version 2 0"), ("copyright holder", "copyright owner"), ("copyright holders", "copyright owners")]
 
+#: Characters by which lines that can't be known are told before they are digested.
+HEAD = 12
 #: Not within ASCII letters, digits, line feed, or U+0080 on: what becomes a space.
 _MARKS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A line that states a copyright: the word near its start, then a year or a reservation.
@@ -107,22 +171,23 @@ def digest(lines: Column) -> Column:
 
 
 def known(spark: SparkSession, notices=None) -> DataFrame:
-    """(digest, license, lengths) of the known texts; a constant table."""
+    """(digest, license, lengths, heads) of the known texts; heads are their first HEAD characters. A constant table."""
     rows = spark.createDataFrame(notices or NOTICES, "license string, text string")
     rows = rows.select(_lines(F.col("text")).alias("lines"), "license")
-    rows = rows.select(digest(F.col("lines")).alias("digest"), F.length(F.concat_ws(" ", "lines")).alias("n"), "license")
-    return rows.groupBy("digest").agg(F.min("license").alias("license"), F.collect_set("n").alias("lengths"))
+    rows = rows.select(digest(F.col("lines")).alias("digest"), F.concat_ws(" ", "lines").alias("all"), "license")
+    return rows.groupBy("digest").agg(F.min("license").alias("license"), F.collect_set(F.length("all")).alias("lengths"), F.collect_set(F.substring("all", 1, HEAD)).alias("heads"))
 
 
 def scan(docs: DataFrame, text: str = "text", notices=None) -> DataFrame:
     """(row, digest, license, n_lines, line_licenses): whole-text match, and licences that lines of the text match."""
     spark = docs.sparkSession
     table = known(spark, notices)
-    short = {x.digest: x.license for x in table.collect()}  # the constant table
+    held = table.collect()  # the constant table
+    short = {x.digest: x.license for x in held}
     lookup = F.create_map(*[F.lit(x) for pair in sorted(short.items()) for x in pair])
-    lengths = [x.n for x in table.select(F.explode("lengths").alias("n")).distinct().collect()]
+    lengths, heads = (sorted({y for x in held for y in x[column]}) for column in ("lengths", "heads"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(_lines(F.col(f"`{text}`")), F.array().cast("array<string>")).alias("lines"))
-    likely = F.filter("lines", lambda x: F.length(x).isin(lengths))
+    likely = F.filter("lines", lambda x: F.length(x).isin(lengths) & F.substring(x, 1, HEAD).isin(heads))
     rows = rows.select("row", digest(F.col("lines")).alias("digest"), F.filter(F.transform(likely, lambda x: F.element_at(lookup, F.sha2(x, 256))), lambda x: x.isNotNull()).alias("found"))
     rows = rows.join(F.broadcast(table.select("digest", "license")), "digest", "left")  # at most the constant table
     return rows.select("row", "digest", "license", F.size("found").cast("long").alias("n_lines"), F.concat_ws(",", F.array_sort(F.array_distinct("found"))).alias("line_licenses"))
