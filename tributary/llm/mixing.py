@@ -5,7 +5,7 @@ other sources by weight until none is above. A source of target/size ratio f giv
 document. The fraction left, p, is the inclusion probability of a further copy: each document draws u from a hash of its
 id, text and a seed, its rank is the odds of u divided by the odds of its inclusion probability, and the documents of
 least rank are taken, as many as the words left for the source hold. Within a source the inclusion probability of a
-document is p, tilted by ``tilt`` (a column in (0, inf), 1 for all in the query), so ranks are fixed by the document alone.
+document is p, the same for all, as the operator passes no ``tilt`` to ``ranked``; ranks are fixed by the document alone.
 
 The cut among the ranks of a source is found without sorting it: ranks become 48-bit integers, word sums are taken over
 ``2**BITS`` bins of them (partial sums first), the bin that holds the cut is opened into as many finer bins, and so on.
