@@ -1,9 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from tests.llm.test_decontaminate import words
 
 from tributary.llm import neardup as op
+from tributary.llm import shared, textcore
+from tributary.llm.textcore import as_bytes
 
 
 def shingles(text):
@@ -136,7 +139,7 @@ def test_samples_agree_as_the_weighted_similarity():
             wb = np.concatenate([wa[:m] * g.choice([1, 1, 1.3], m), g.uniform(1, 3, 300 - m)])
             agree.append((op.samples(a, wa, np.array([0])) == op.samples(b, wb, np.array([0]))).mean())
             ia, ib = np.argsort(a), np.argsort(b)
-            truth.append(op.similarity((a[ia], wa[ia]), (b[ib], wb[ib]))[0])
+            truth.append(op.similarity((a[ia], wa[ia]), (b[ib], wb[ib])))
         assert abs(np.mean(agree) - np.mean(truth)) < 0.03
 
 
@@ -153,3 +156,37 @@ def test_components_of_a_long_chain(spark):
     pairs = [(k, k + 1) for k in range(60)] + [(100, 200), (200, 150)]
     got = {x.node: x.label for x in op.components(spark.createDataFrame(pairs, "low long, high long")).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 200: 100, 150: 100}
+
+
+def test_a_document_counts_once_in_a_frequency():
+    rows = ["a b c d e " * 1000, "one two", "one two", None, "x y z v w"]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["text"])
+    (got,) = op._frequencies(iter([batch]))
+    assert sorted(got.column(1).to_pylist()) == [1, 1, 1, 1, 1, 1, 2]
+
+
+def test_long_texts_in_spans(monkeypatch):
+    rng = random.Random(9)
+    for t in (text(rng, 500) + " é漢 a b a b a b a b", "one, two", "!" * 50, "x" * 500 + " y"):
+        data, offsets = as_bytes(pa.array([t]))
+        want = op.shingles(data, offsets)
+        with monkeypatch.context() as m:
+            m.setattr(op, "LONG", 5)
+            m.setattr(op, "PIECE", 7)
+            m.setattr(textcore, "SPAN", 64)
+            got = op.shingles(data, offsets)
+        assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+
+
+def test_hot_keys_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_LEAST", 3)
+    monkeypatch.setattr(op, "ALL_PAIRS", 4)
+    monkeypatch.setattr(op, "GROUP", 2)
+    rng = random.Random(10)
+    base = text(rng, 120)
+    rows = [edited(rng, base, 1) for _ in range(12)] + [base] * 6 + [text(rng, 50) for _ in range(6)]
+    docs = spark.createDataFrame([(k, t, k, "x") for k, t in enumerate(rows)], "doc_id long, text string, node long, `class_id` string")
+    named = {x.doc_id: x.class_id for x in op.classes(docs).collect()}
+    assert {named[k] for k in range(18)} == {0} and all(named[k] == k for k in range(18, 24))
+    kept = op.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == [0, *range(18, 24)]

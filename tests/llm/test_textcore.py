@@ -39,3 +39,20 @@ def test_slices_and_large_strings():
         assert data.tobytes() == "two é".encode() and offsets.tolist() == [0, 0, 6, 6]
     assert [x for x in textcore.pieces(np.array([0, 5, 6, 100, 101]), 10)] == [(0, 2), (2, 3), (3, 4)]
     assert list(textcore.pieces(np.array([0]), 10)) == []
+
+
+def test_tallies_and_spans(monkeypatch):
+    data = np.random.default_rng(1).choice(np.frombuffer(b"ab1 ", np.uint8), 5000)
+    starts, ends = textcore.runs(data != 32, np.array([0]))
+    digit = np.zeros(256, bool)
+    digit[ord("1")] = True
+    want = [int((data[a:b] == ord("1")).sum()) for a, b in zip(starts, ends, strict=True)]
+    for span in (1, 50, 20_000):
+        monkeypatch.setattr(textcore, "SPAN", span)
+        assert textcore.tally(digit, data, starts, ends).tolist() == want
+        assert (textcore.word_hashes(data) == textcore.Words(data, np.array([0, len(data)])).hashes).all()
+    kinds = (textcore.WORD != 0).astype(np.uint8)
+    cuts = list(textcore.spans(data, kinds, 100))
+    assert [a for a, _ in cuts] == [0, *[b for _, b in cuts[:-1]]] and cuts[-1][1] == len(data)
+    assert all(kinds[data[b]] == 0 or kinds[data[b]] != kinds[data[b - 1]] for _, b in cuts[:-1])
+    assert list(textcore.spans(np.full(10**6, 97, np.uint8), kinds, 100)) == [(0, 10**6)]

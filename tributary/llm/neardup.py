@@ -1,26 +1,33 @@
 """Near-duplicate classes: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
-Shingles are five words (a text of fewer words is one shingle of all). A shingle's weight is (1 + ln tf) times an idf in
-[1, 1 + IDF_SPAN], from document frequencies of all documents, counted in ``DF_BUCKETS`` hashed buckets: the table has a
-fixed size, is broadcast, and a bucket's mean load is taken off. The span is small on purpose: with an unbounded idf one
-changed word in a widely copied text would weigh as much as all the rest, and copies of it would not be found.
+Shingles are five words (a text of fewer words is one shingle of all). A shingle's weight is (1 + ln tf) times an idf,
+1 + IDF_SPAN * ln(N / df) / ln(1 / RARE), where df counts each document once, over all N documents that have a text, and is
+at least RARE * N: what fewer than one document in a thousand hold weighs most, whatever the corpus' size. Frequencies are
+counted in ``DF_BUCKETS`` hashed buckets, a table of fixed size that is broadcast. The median load, that of rare shingles, is
+taken off; its spread is the root of the load, which falls below RARE * N as N grows. The span is small on purpose: with an
+unbounded idf one changed word in a widely copied text would weigh as much as all the rest, and copies of it would be lost.
 
 1. Documents of equal words (a 128-bit digest) are one text from here on; the least doc_id stands for it.
 2. Each text draws ``BANDS * ROWS`` consistent weighted samples; equal with probability of the weighted Jaccard similarity.
    A band is a hash of ROWS samples. At similarity 0.8 a pair misses all bands with probability 0.0001.
 3. A band of at most ``ALL_PAIRS`` texts gives all its pairs. In a larger one each text meets the band's leaders: the least
-   member, the greatest by an order salted by band, and the ``MIDDLES`` whose own bands are the largest in sum. This is the
-   middle of a group: copies of one original each differ from it where they were edited, and from each other where either
-   was. That is three pairs a member, found by partial minima and maxima; no large group is ever gathered.
+   member, the greatest by an order salted by band, and the middle, whose own bands are the largest in sum: copies of one
+   original each differ from it where they were edited, and from each other where either was. That is three pairs a
+   member, found by partial minima and maxima; no large group is ever gathered.
 4. A pair whose samples agree too little to be at the threshold (less than ``SIEVE`` of them) is dropped; the rest are
-   verified on all their shingles: weighted or plain Jaccard similarity of 0.8 or more is a link.
+   verified on all their shingles: a weighted Jaccard similarity of 0.8 or more is a link.
 5. Members of a larger band whom these links leave in different components are compared each with each, in blocks of
    ``CHUNK`` texts, and verified likewise. Only pairs that a class joins already are left out; of a band's largest component
    no member is compared with another. What is left grows with the square of the texts that share bands without links.
 6. Classes are connected components of the links, by least label, with checkpoints; nothing of them is collected.
 
+The ``shared.HOT_SHARE`` keys of the most rows (a band, a label, a leader, a digest of copies) are joined by broadcast of
+their one row each, if they hold many; so a key that is shuffled holds less than one row in HOT_SHARE.
+
 Defined cases: a text without words (null, empty, marks only) is a class of its own row; equal rows are one class; a null
-doc_id can be a member, and stands for a class only if all its ids are null; ties go to the least doc_id.
+doc_id can be a member, and stands for a class only if all its ids are null; ties go to the least doc_id; an empty table has
+no classes; extra columns may have any name, and `keep_one` keeps them. A text of more than ``LONG`` bytes is read in spans:
+about 6 bytes of memory for each of its bytes in words of usual length, 16 at most.
 """
 
 from __future__ import annotations
@@ -33,42 +40,74 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import shared
-from tributary.llm.textcore import Words, as_bytes, grams, mix, pieces
+from tributary.llm.textcore import Words, as_bytes, grams, mix, pieces, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 18, 4
 SAMPLES = BANDS * ROWS
 DF_BUCKETS = 1 << 18
 IDF_SPAN = 0.2
+#: Shingles that fewer than this share of all documents hold have the greatest idf.
+RARE = 1e-3
 #: A pair at similarity 0.8 agrees in less than this share of the samples with probability below 1e-6.
 SIEVE = 0.5
 #: Bands of at most so many texts give all their pairs; larger ones are led.
 ALL_PAIRS = 16
-#: Leaders from the middle of a larger band.
-MIDDLES = 1
+#: Pairs of one text that one task verifies, about.
+GROUP = 256
 #: Texts and shingles of a block's held side, and texts of its other side, on average.
 CHUNK, CHUNK_SHINGLES, STREAM = 512, 1 << 18, 2048
 PIECE = 1 << 20
+#: A text of more bytes is read in spans.
+LONG = 4 << 20
 U = np.uint64
+_SALTS = (U(0x9FB21C651E98DF25), U(0xE7037ED1A0B428DB))
+
+
+def _short(hashes: np.ndarray) -> np.uint64:
+    """The one shingle of fewer than SHINGLE words."""
+    h = 1469598103934665603
+    for x in hashes.tolist():
+        h = (h * 0xD1342543DE82EF95 + x) % (1 << 64)
+    return mix(np.array([h], np.uint64))[0]
+
+
+def _long_shingles(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As `shingles`, of one long text."""
+    hashes = word_hashes(data)
+    digests = np.zeros((1, 2), np.uint64)
+    if len(hashes):
+        for k, salt in enumerate(_SALTS):
+            total = 0
+            for low in range(0, len(hashes), PIECE):
+                place = np.arange(low, min(len(hashes), low + PIECE), dtype=np.uint64)
+                total += int(mix(hashes[low : low + PIECE] ^ mix(place * salt + U(k + 1))).sum(dtype=np.uint64))
+            digests[0, k] = mix(np.array([(total + len(hashes)) % (1 << 64)], np.uint64))[0]
+    if 0 < len(hashes) < SHINGLE:
+        return np.zeros(1, np.int64), np.array([_short(hashes)]), np.ones(1, np.int64), digests
+    value, _ = grams(hashes, np.zeros(len(hashes), np.int8), SHINGLE)
+    del hashes
+    value.sort()
+    first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
+    return np.zeros(len(first), np.int64), value[first], np.diff(np.append(first, len(value))), digests
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows, distinct shingle hashes in order within a row, how often each occurs, and a 128-bit digest of each row's words."""
+    if len(offsets) == 2 and len(data) > LONG:
+        return _long_shingles(data)
     words = Words(data, offsets)
     n = len(words.counts)
     values, inside = grams(words.hashes, words.row, SHINGLE)
     row, value = words.row[: len(values)][inside], values[inside]
+    bounds = np.searchsorted(row, np.arange(n + 1))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        value[a:b].sort()
     short = np.flatnonzero((words.counts > 0) & (words.counts < SHINGLE))
     if len(short):
-        extra = np.zeros(len(short), np.uint64)
-        for k, r in enumerate(short.tolist()):
-            h = 1469598103934665603
-            for x in words.hashes[words.first[r] : words.first[r] + words.counts[r]].tolist():
-                h = (h * 0xD1342543DE82EF95 + x) % (1 << 64)
-            extra[k] = h
-        row, value = np.concatenate([row, short]), np.concatenate([value, mix(extra)])
-    order = np.lexsort((value, row))
-    row, value = row[order], value[order]
+        extra = np.array([_short(words.hashes[words.first[r] : words.first[r] + words.counts[r]]) for r in short.tolist()], np.uint64)
+        into = bounds[short]
+        row, value = np.insert(row, into, short), np.insert(value, into, extra)
     first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (value[1:] != value[:-1])])) if len(row) else np.zeros(0, np.int64)
     counts = np.diff(np.append(first, len(row)))
     digests = np.zeros((n, 2), np.uint64)
@@ -76,7 +115,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         place = (np.arange(len(words.row)) - words.first[words.row]).astype(np.uint64)
         starts = np.flatnonzero(np.diff(words.row, prepend=-1))
         some = words.row[starts]
-        for k, salt in enumerate((U(0x9FB21C651E98DF25), U(0xE7037ED1A0B428DB))):
+        for k, salt in enumerate(_SALTS):
             digests[some, k] = mix(np.add.reduceat(mix(words.hashes ^ mix(place * salt + U(k + 1))), starts) + words.counts[some].astype(np.uint64))
     return row[first], value[first], counts, digests
 
@@ -86,13 +125,13 @@ def _bucket(value: np.ndarray) -> np.ndarray:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) to (bucket, n): in how many of the task's documents the shingles of a bucket are, in sum."""
     total = np.zeros(DF_BUCKETS, np.int64)
     for batch in batches:
         data, offsets = as_bytes(batch.column(0))
         for low, high in pieces(offsets, PIECE):
-            words = Words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-            values, inside = grams(words.hashes, words.row, SHINGLE)
-            total += np.bincount(_bucket(values[inside]), minlength=DF_BUCKETS)
+            _, value, _, _ = shingles(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+            total += np.bincount(_bucket(value), minlength=DF_BUCKETS)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
@@ -100,13 +139,13 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def idf_table(docs: DataFrame, text: str = "text") -> np.ndarray:
     """The idf of each bucket, in [1, 1 + IDF_SPAN]; DF_BUCKETS numbers whatever the corpus."""
     shared.tune(docs.sparkSession)
-    rows = docs.select(F.col(text).alias("text")).where("text IS NOT NULL")
+    rows = docs.select(F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
     total = max(1, rows.count())
     sums = rows.mapInArrow(_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most DF_BUCKETS rows
     n = np.zeros(DF_BUCKETS)
     n[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
-    df = np.clip(n - np.median(n), 1, total)
-    return (1 + IDF_SPAN * np.log((total + 1) / df) / np.log(total + 1)).astype(np.float32)
+    df = np.clip(n - np.median(n), max(1.0, RARE * total), total)
+    return (1 + IDF_SPAN * np.log(total / df) / np.log(1 / RARE)).astype(np.float32)
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -183,12 +222,12 @@ def _signer(held):
 
 def texts(docs: DataFrame, idf: np.ndarray, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Members (doc_id, content, digest) of all rows, digest null without words; and nodes (node, doc_id, digest, samples,
-    size), one for each distinct text; size is its number of distinct shingles. content is a hash of the text as it is."""
+    size, copies), one for each distinct text; size is its number of distinct shingles. content is a hash of the text as it is."""
     held = docs.sparkSession.sparkContext.broadcast(idf)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("content"), F.col(text).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("content"), F.col(f"`{text}`").alias("text"))
     signed = shared.cut(rows.mapInArrow(_signer(held), "doc_id long, content long, digest binary, samples binary, size long"))
-    nodes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("samples").alias("samples"), F.min("size").alias("size"))
-    nodes = shared.cut(nodes.select(F.monotonically_increasing_id().alias("node"), "doc_id", "digest", "samples", "size"))
+    nodes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("samples").alias("samples"), F.min("size").alias("size"), F.count("*").alias("copies"))
+    nodes = shared.cut(nodes.select(F.monotonically_increasing_id().alias("node"), "doc_id", "digest", "samples", "size", "copies"))
     return signed.select("doc_id", "content", "digest"), nodes
 
 
@@ -210,7 +249,8 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     bands = nodes.select("node", "samples").mapInArrow(_banded, "band long, node long, place int")
     sizes = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max(F.col("node").bitwiseXOR(F.col("band"))).alias("x"), F.max("node").alias("z"))
     sizes = shared.cut(sizes.where("a < z").select("band", "n", "a", F.col("x").bitwiseXOR(F.col("band")).alias("b")))
-    met = shared.cut(bands.join(sizes, "band"))
+    hot = shared.hot_keys(sizes, "band")
+    met = shared.cut(shared.meet(bands, sizes, "band", hot))
     # small bands: all their pairs, at most ALL_PAIRS * (ALL_PAIRS - 1) / 2
     groups = met.where(F.col("n") <= ALL_PAIRS).groupBy("band").agg(F.sort_array(F.collect_set("node")).alias("g"))
     inner = F.flatten(F.transform("g", lambda x, i: F.transform(F.slice("g", i + 2, F.lit(ALL_PAIRS)), lambda y: F.struct(x.alias("low"), y.alias("high")))))
@@ -220,18 +260,15 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = large.select("band", "place", "node")
     score = met.groupBy("node").agg(F.sum("n").alias("score"))
     large = shared.cut(large.join(score, "node"))
-    rest = large
-    for k in range(MIDDLES):
-        middle = shared.cut(rest.groupBy("band").agg(F.max(F.struct("score", "node")).alias("m")).select("band", F.col("m.node").alias(f"c{k}")))
-        rest = rest.join(middle, "band").where(F.col("node") != F.col(f"c{k}"))
-        large = large.join(middle, "band")
-    leaders = ["a", "b", *[f"c{k}" for k in range(MIDDLES)]]
-    stars = shared.cut(large.select("node", *leaders).distinct())
-    for leader in leaders:
+    middle = shared.cut(large.groupBy("band").agg(F.max(F.struct("score", "node")).alias("m")).select("band", F.col("m.node").alias("c")))
+    stars = shared.cut(shared.meet(large, middle, "band", hot).select("node", "a", "b", "c").distinct())
+    for leader in ("a", "b", "c"):
         pairs = pairs.unionByName(stars.where(f"node <> {leader}").select(F.least("node", leader).alias("low"), F.greatest("node", leader).alias("high")))
-    pairs = pairs.distinct()
+    pairs = shared.cut(pairs.distinct())
     signs = nodes.select("node", "samples")
-    pairs = pairs.join(signs.toDF("low", "one"), "low").join(signs.toDF("high", "two"), "high")
+    for side, name in (("low", "one"), ("high", "two")):
+        hot = shared.hot_keys(pairs.groupBy(side).agg(F.count("*").alias("n")), side)
+        pairs = shared.meet(pairs, signs.toDF(side, name), side, hot)
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,13 +280,13 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return shared.cut(pairs.select("low", "high", "one", "two").mapInArrow(agree, "low long, high long")), members
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
-    """Weighted and plain Jaccard similarity of two sorted arrays of shingles with weights."""
-    both, x, y = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    if not len(both):
-        return 0.0, 0.0
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two sorted arrays of shingles with weights."""
+    _, x, y = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    if not len(x):
+        return 0.0
     least = np.minimum(a[1][x], b[1][y]).sum()
-    return float(least / (a[1].sum() + b[1].sum() - least)), len(both) / (len(a[0]) + len(b[0]) - len(both))
+    return float(least / (a[1].sum() + b[1].sum() - least))
 
 
 def _verifier(held):
@@ -277,7 +314,7 @@ def _verifier(held):
                     if role == 0:
                         group, leader = (first, salt), mine
                     elif group == (first, salt):
-                        found = max(similarity(leader, mine))
+                        found = similarity(leader, mine)
                         if found >= THRESHOLD:
                             links.append((first, node, found))
             a, b, c = zip(*links, strict=True) if links else ((), (), ())
@@ -316,8 +353,7 @@ class _Block:
         theirs = self.other[self.ids[which]]
         self.other[at[known]] = 0
         least = np.add.reduceat(np.minimum(theirs, self.weights[which]), starts)
-        both = np.add.reduceat((theirs > 0).astype(np.int64), starts)
-        found = np.maximum(least / (self.totals[pick] + weight.sum() - least), both / (sizes + len(value) - both))
+        found = least / (self.totals[pick] + weight.sum() - least)
         near = found >= THRESHOLD
         return [(min(node, x), max(node, x), y) for x, y in zip(self.nodes[pick[near]].tolist(), found[near].tolist(), strict=True)]
 
@@ -360,7 +396,7 @@ def _crosser(held):
 
 def _texts_of(docs: DataFrame, ends: DataFrame, text: str) -> DataFrame:
     """Rows of ends (of, ...) with the texts of that doc_id."""
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
     return wanted.join(ends, F.col("doc_id").eqNullSafe(F.col("of")))
 
 
@@ -372,8 +408,8 @@ def crossed(docs: DataFrame, nodes: DataFrame, idf, members: DataFrame, found: D
     counts = labels.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     bands = counts.groupBy("band").agg(F.max(F.struct("n", "size", "label")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size")).where("n > main.n")
     chunks = F.greatest(F.ceil((F.col("n") - F.col("main.n")) / CHUNK), F.ceil((F.col("size") - F.col("main.size")) / CHUNK_SHINGLES)).cast("int")
-    bands = shared.cut(bands.select("band", F.col("main.label").alias("main"), chunks.alias("chunks"), F.ceil(F.col("n") / STREAM).cast("int").alias("parts")))
-    rows = shared.cut(labels.join(bands, "band").withColumn("alone", F.col("label") == F.col("main")))
+    bands = shared.cut(bands.select("band", "n", F.col("main.label").alias("main"), chunks.alias("chunks"), F.ceil(F.col("n") / STREAM).cast("int").alias("parts")))
+    rows = shared.cut(shared.meet(labels, bands, "band", shared.hot_keys(bands, "band")).withColumn("alone", F.col("label") == F.col("main")))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     names = ["band", "place", "node", "label", "alone"]
     kept = rows.where("NOT alone").select(*names, F.lit(0).alias("role"), F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), every("parts").alias("part"))
@@ -388,7 +424,9 @@ def crossed(docs: DataFrame, nodes: DataFrame, idf, members: DataFrame, found: D
 def links(docs: DataFrame, nodes: DataFrame, idf, text: str = "text") -> DataFrame:
     """(low, high, similarity): the candidates that all their shingles confirm, and further links within larger bands."""
     met, members = candidates(nodes)
-    pairs = met.select("low", "high", F.pmod(F.xxhash64("high"), F.lit(256)).alias("salt"))
+    degree = shared.cut(met.groupBy("low").agg(F.count("*").alias("n")))
+    pairs = shared.meet(met, degree, "low", shared.hot_keys(degree, "low"))
+    pairs = shared.cut(pairs.select("low", "high", F.pmod(F.xxhash64("high"), F.ceil(F.col("n") / GROUP)).alias("salt")))
     ends = pairs.select("low", "salt", F.lit(1).alias("role"), F.col("high").alias("node")).unionByName(pairs.select("low", "salt").distinct().select("low", "salt", F.lit(0).alias("role"), F.col("low").alias("node")))
     ends = shared.cut(ends.join(nodes.select("node", F.col("doc_id").alias("of"), "digest"), "node"))
     held = docs.sparkSession.sparkContext.broadcast(idf)
@@ -402,10 +440,12 @@ def components(found: DataFrame, low: str = "low", high: str = "high") -> DataFr
     """(node, label) of all nodes with a link: the least node of the component."""
     edges = shared.cut(found.select(F.col(low).alias("u"), F.col(high).alias("v")).unionByName(found.select(F.col(high).alias("u"), F.col(low).alias("v"))))
     labels = shared.cut(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).withColumnRenamed("u", "node"))
+    ends = shared.hot_keys(edges.groupBy("v").agg(F.count("*").alias("n")), "v")
     while True:
-        near = edges.join(labels.toDF("v", "far"), "v").groupBy("u").agg(F.min("far").alias("near")).withColumnRenamed("u", "node")
+        near = shared.meet(edges, labels.toDF("v", "far"), "v", ends).groupBy("u").agg(F.min("far").alias("near")).withColumnRenamed("u", "node")
         hooked = shared.cut(labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")))
-        jumped = hooked.join(hooked.select(F.col("node").alias("label"), F.col("label").alias("root")), "label")
+        large = shared.hot_keys(hooked.groupBy("label").agg(F.count("*").alias("n")), "label")
+        jumped = shared.meet(hooked, hooked.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", large)
         now = shared.cut(jumped.select("node", "was", F.least("label", "root").alias("label")))
         if now.where("label <> was").isEmpty():
             return now.select("node", "label")
@@ -420,11 +460,12 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     members, nodes = texts(docs, idf, text)
     labels = components(links(docs, nodes, idf, text))
     named = shared.cut(labels.join(nodes.select("node", "doc_id", "digest"), "node"))
-    heads = shared.cut(named.groupBy("label").agg(F.min("doc_id").alias("class_id")))
-    linked = named.join(heads, "label").select("digest", "class_id")
+    heads = shared.cut(named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")))
+    linked = shared.meet(named, heads, "label", shared.hot_keys(heads, "label")).select("digest", "class_id")
     alone = nodes.join(labels, "node", "left_anti").select("digest", F.col("doc_id").alias("class_id"))
     table = shared.cut(linked.unionByName(alone))
-    return members.join(table, "digest", "left").select("doc_id", "content", "digest", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    hot = shared.hot_keys(nodes.select("digest", F.col("copies").alias("n")), "digest")
+    return shared.meet(members, table, "digest", hot, "left").select("doc_id", "content", "digest", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -439,7 +480,7 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     once = again.select("doc_id", F.explode("contents").alias("content")).withColumn("once", F.lit(True))
     verdict = shared.cut(drop.unionByName(once).toDF("_of", "_content", "_once"))
     names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col(text)).alias("_key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_key"))
     rows = rows.join(verdict, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("_content")), "left")
     stay = rows.where("_once IS NULL").select("row")
     one = rows.where("_once").dropDuplicates(["_id", "_key"]).select("row")

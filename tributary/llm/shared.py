@@ -45,6 +45,28 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: So many keys of the most rows are hot; any other holds less than one row in so many.
+HOT_SHARE = 1000
+#: Keys of fewer rows are never hot.
+HOT_LEAST = 512
+
+
+def hot_keys(counts: DataFrame, key: str) -> DataFrame | None:
+    """The hot keys of counts (key, n), one row each and at most HOT_SHARE; None if there are none."""
+    found = counts.select(key, "n").where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), key).limit(HOT_SHARE).collect()
+    return counts.sparkSession.createDataFrame([(x[0],) for x in found], counts.select(key).schema) if found else None
+
+
+def meet(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """Rows joined to a table of one row for each key; the hot keys' rows stay where they are, and their part of the table,
+    at most HOT_SHARE rows, is broadcast."""
+    if hot is None:
+        return rows.join(table, key, how)
+    few = F.broadcast(hot)
+    rest = rows.join(few, key, "left_anti").join(table, key, how)
+    return rest.unionByName(rows.join(F.broadcast(table.join(few, key, "left_semi")), key))
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of an id written as text, modulo; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

@@ -108,19 +108,67 @@ def range_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
 SPAN = 1 << 20
 
 
+def _together(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Groups of ranges, in order and apart, that lie within about a span; a longer range is a group of its own."""
+    low = 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(ends, starts[low] + SPAN, side="right")))
+        yield low, high
+        low = high
+
+
+def _long_hash(table: np.ndarray, data: np.ndarray) -> int:
+    """What range_hashes gives before its scrambling, of all these bytes, a span at a time."""
+    total = 0
+    for low in range(0, len(data), SPAN):
+        total += int(prefix_hashes(table[data[low : low + SPAN]])[-1]) * pow(_BASE, low, 1 << 64)
+    return total % (1 << 64)
+
+
 def hashes(table: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of byte ranges, in order and apart, a span of the text at a time; table gives each byte's value."""
     out = np.empty(len(starts), np.uint64)
-    low = 0
-    while low < len(starts):
-        high = max(low + 1, int(np.searchsorted(starts, starts[low] + SPAN)))
-        first = starts[low]
-        prefix = prefix_hashes(table[data[first : ends[high - 1]]])
+    for low, high in _together(starts, ends):
+        first, last = starts[low], ends[high - 1]
+        if last - first > SPAN:
+            out[low:high] = mix(np.array([_long_hash(table, data[first:last])], np.uint64))
+            continue
+        prefix = prefix_hashes(table[data[first:last]])
         out[low:high] = range_hashes(prefix, starts[low:high] - first, ends[low:high] - first)
-        low = high
     return out
 
 
+def tally(member: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many bytes of each range, in order and apart, are members; a span of the text at a time."""
+    out = np.empty(len(starts), np.int64)
+    for low, high in _together(starts, ends):
+        first, last = starts[low], ends[high - 1]
+        if last - first > SPAN:
+            out[low] = sum(int(np.count_nonzero(member[data[a : min(last, a + SPAN)]])) for a in range(first, last, SPAN))
+            continue
+        sums = np.zeros(last - first + 1, np.int32)
+        np.cumsum(member[data[first:last]], out=sums[1:])
+        out[low:high] = sums[ends[low:high] - first] - sums[starts[low:high] - first]
+    return out
+
+
+def spans(data: np.ndarray, kinds: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """The text in spans of `size` bytes or a little more; one ends where the kind of byte changes or the kind is 0, so that
+    no run of one kind is cut."""
+    low, n = 0, len(data)
+    while low < n:
+        high = min(n, low + size)
+        while high < n:
+            near = kinds[data[high - 1 : min(n, high + (1 << 16))]]
+            found = np.flatnonzero((near[1:] != near[:-1]) | (near[1:] == 0))
+            if len(found):
+                high += int(found[0])
+                break
+            high = min(n, high + len(near) - 1)
+        yield low, high
+        low = high
+
+
 def _word_table() -> np.ndarray:
     """Lower-cased byte of a word, or 0: digits, letters, and every byte of a character from U+0080."""
     out = np.zeros(256, np.uint8)
@@ -153,6 +201,12 @@ class Words:
         return b" ".join(self.low[a:b].tobytes() for a, b in zip(self.starts[word : word + n].tolist(), self.ends[word : word + n].tolist(), strict=True))
 
 
+def word_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of the words of one text of any length, a span at a time."""
+    found = [Words(data[a:b], np.array([0, b - a])).hashes for a, b in spans(data, (WORD != 0).astype(np.uint8), SPAN)]
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
 _GRAM = 0xD1342543DE82EF95
 
 
