@@ -1,6 +1,8 @@
+import math
 import random
 import re
 
+from pyspark.sql import functions as F
 from tests.oracle import actual, expected
 
 from tributary.llm import licenses, mixing
@@ -139,3 +141,65 @@ def test_mix_repeats_rows(spark):
     assert mixed.columns == docs.columns
     counts = {x.doc_id: x["count"] for x in mixed.groupBy("doc_id").count().collect()}
     assert counts == {k: n for k, n in plan.items() if n}
+
+
+def brute_pareto(rows, ratio, tilt):
+    """rows: (id, size, u); by hand: certain documents, then ranks sorted, least first, to the words left."""
+    classes = {i: math.floor(math.log2(n) * mixing.STEPS) for i, n, _ in rows if n}
+    pull = {i: 2 ** (c * tilt / mixing.STEPS) for i, c in classes.items()}
+    size, draw = {i: n for i, n, _ in rows}, {i: u for i, _, u in rows}
+    left, sure = ratio * sum(size.values()), set()
+    while True:
+        free = [i for i in classes if i not in sure]
+        scale = left / sum(size[i] * pull[i] for i in free)
+        over = {i for i in free if classes[i] == max(classes[j] for j in free)} if max(scale * pull[i] for i in free) > 1 + 1e-9 else set()
+        if not over:
+            break
+        sure |= over
+        left -= sum(size[i] for i in over)
+    p = {i: scale * pull[i] for i in free}
+    odds = lambda x: x / (1 - x)
+    taken, words = set(sure), 0
+    for i in sorted(free, key=lambda i: odds(draw[i]) / odds(p[i])):
+        if words + size[i] / 2 > left:
+            break
+        taken.add(i)
+        words += size[i]
+    return taken, p | dict.fromkeys(sure, 1.0)
+
+
+def test_a_sorted_pareto_sample_takes_the_same(spark):
+    rng = random.Random(21)
+    for ratio in (0.15, 0.6, 0.9):
+        rows = [(k, "s", " ".join(["w"] * rng.choice([0, 1, 2, 7, 40, 41, 300, 3000]))) for k in range(400)]
+        docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+        keyed = docs.select("doc_id", F.shiftrightunsigned(F.xxhash64(F.lit(mixing.SEED), "doc_id", F.xxhash64("text")), 11).alias("u")).collect()
+        draw = {x.doc_id: (x.u + 0.5) / (1 << 53) for x in keyed}
+        want, p = brute_pareto([(i, len(t.split()), draw[i]) for i, _, t in rows], ratio, mixing.TILT)
+        found = mixing.copies(docs, share=ratio).collect()
+        assert {x.row.doc_id for x in found if x["copies"]} == want
+        assert all(abs(x.p - p[x.row.doc_id]) < 1e-9 for x in found if x.p is not None)
+        assert all(p[x.row.doc_id] == 1 for x in found if x["size"] and x.p is None)
+
+
+def test_inclusion_is_as_its_probability(spark):
+    sizes = [1] * 20 + [4] * 20 + [16] * 20 + [64] * 20 + [256] * 10  # the same in each of many sources
+    rows = [(n * 1000 + k, f"s{n:04d}", "w " * size) for n in range(300) for k, size in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(8)
+    found = mixing.copies(docs, weights=(1.0,), share=0.4)
+    table = found.groupBy("size").agg(F.avg("copies").alias("seen"), F.max("p").alias("p")).collect()
+    seen = {x["size"]: (x.seen, x.p) for x in table}
+    assert seen[1][0] < seen[4][0] < seen[16][0] < seen[64][0] < seen[256][0]
+    assert all(abs(a - p) < 0.05 for a, p in seen.values()), seen
+    flat = {x["size"]: x.p for x in mixing.copies(docs, weights=(1.0,), share=0.4, tilt=0.0).groupBy("size").agg(F.max("p").alias("p")).collect()}
+    assert all(abs(p - 0.4) < 1e-9 for p in flat.values())
+
+
+def test_ties_are_cut_over_partitions(spark):
+    docs = spark.createDataFrame([(1, "a", "x y z", "q")] * 500 + [(2, "b", "w " * 50, "q")] * 8, "doc_id long, source string, text string, part string").repartition(7)
+    found = mixing.copies(docs)
+    assert found.count() == 508
+    taken = {x.doc_id: x.n for x in found.groupBy("row.doc_id").agg(F.sum(F.col("copies") * F.col("size")).alias("n")).collect()}
+    want = mixing.targets([("a", 1500), ("b", 400)])
+    assert abs(taken[1] - want["a"]) <= 3 and abs(taken[2] - want["b"]) <= 50
+    assert mixing.mix(docs).columns == docs.columns
