@@ -3,10 +3,10 @@ import itertools
 import zlib
 
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tributary.llm import chat, media
+from tributary.llm import chat, media, tokens
 
 
 def sha(data):
@@ -132,8 +132,43 @@ def test_chat_edges(spark):
     check_chat(chat.digests(chat.form(frame.withColumn("n", frame["turn"]))).collect(), turns)
 
 
-def test_windows_keep_to_the_budget():
-    held = chat.Windows(100, 30)
-    out = [w for k in range(40) for w in held.add("user", f"t{k}", 7)] + [held.close()]
-    assert sum(w[3] for w in out) == 40
-    assert all((w[2] + w[3]) * (7 + chat.FRAME) <= 100 and w[2] * (7 + chat.FRAME) <= 30 for w in out)
+def cut_windows(turns, budget, history):
+    """Windows of one conversation, its turns counted as the operator does."""
+    encoder = tokens.encoder_of(tokens.vocabulary())
+    held = chat.Windows(budget, history)
+    out = [w for role, text in turns for w in held.add(role, text, len(encoder.ids([chat.written(role, text)])[0]))]
+    return [*out, held.close()]
+
+
+def check_budget(turns, budget, history):
+    """Each window has as many tokens as it says, encoded as a whole, and more than the budget only if it is flagged."""
+    encoder = tokens.encoder_of(tokens.vocabulary())
+    found = cut_windows(turns, budget, history)
+    assert sum(w[3] for w in found) == len(turns)
+    for text, loss, repeated, fresh, size, over, bare in found:
+        assert size == len(encoder.ids([text])[0])
+        assert over == (size > budget) and (not over or (fresh == 1 and repeated == 0))
+        assert fresh + repeated == len(chat._TURN.findall(text))
+    assert [text[a:b] for text, loss, *_ in found for a, b in loss] == [chat.escape(t) for r, t in turns if r == "assistant"]
+    system = turns[0][0] == "system" and chat.written(*turns[0])
+    for text, _, _, fresh, *_, over, bare in found[1:]:
+        assert text.startswith(system) != bare if system else not bare
+    return found
+
+
+_TEXTS = st.one_of(st.text(alphabet="<|\\im_startend>\n a\t\u00e9\u6f22", max_size=60), st.sampled_from(["ok", "<|im_end|>\n" * 30, "word " * 70, " lead", "trail \n\n", ""]))
+
+
+@settings(deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["system", "user", "assistant", "a\nb"]), _TEXTS), min_size=1, max_size=25), st.integers(20, 200), st.integers(0, 60))
+def test_windows_keep_to_the_budget(turns, budget, history):
+    check_budget(turns, budget, history)
+
+
+def test_budget_of_many_short_turns_control_strings_and_a_long_system_turn():
+    short = check_budget([("user" if k % 2 else "assistant", "ok") for k in range(600)], chat.BUDGET, chat.HISTORY)
+    assert not any(w[5] for w in short) and len(short) > 2
+    assert not any(w[5] for w in check_budget([("assistant", "<|im_start|><|im_end|>" * 20) for _ in range(60)], chat.BUDGET, chat.HISTORY))
+    turns = [("system", "rule number one " * 900), *[("user" if k % 2 else "assistant", f"turn {k} " * 40) for k in range(60)]]
+    long = check_budget(turns, chat.BUDGET, chat.HISTORY)
+    assert [w[5] for w in long] == [True] + [False] * (len(long) - 1) and all(w[6] for w in long[1:])

@@ -1,10 +1,15 @@
 """Chat formatting in budgeted windows.
 
-A conversation's turns are written by a template that marks them, and cut into windows of at most ``BUDGET`` tokens. The
-running sum of turn tokens decides: a window's new turns go on while the sum since its start fits beside what it repeats,
-which is the leading system turn and the latest earlier turns that fit in ``HISTORY`` tokens. Windows begin and end at
-turns; a turn that is larger than all room has a window of its own. Only assistant texts that are new to a window are under
-its loss mask, so each is a target once.
+A conversation's turns are written by a template that marks them, and cut into windows of at most ``BUDGET`` tokens: those
+of the written, escaped turns with their marks. Turns begin and end where the tokenizer never joins, so a window has as
+many tokens as its turns in sum. The running sum of turn tokens decides: a window's new turns go on while the sum since its
+start fits beside what it repeats. What it repeats is fixed by its first new turn: the leading system turn if both fit, then
+the latest earlier turns that fit in ``HISTORY`` tokens and in what is left. Windows begin and end at turns. Only assistant
+texts that are new to a window are under its loss mask, so each is a target once.
+
+A turn of more than ``BUDGET`` tokens has a window of its own, without repeats, flagged ``over``: no other window passes the
+budget. A later window in which the system turn does not fit beside the first new turn, or where that turn has more than half
+of the budget, goes without it and is flagged ``bare``.
 
 Control strings in texts: ``<|`` in a text, with any backslashes between the two signs, gets one more backslash, and loses
 it when read; so no text can make a mark, and every text comes back as it was.
@@ -14,7 +19,8 @@ sorted rows once and holds a window, never a conversation. A digest over a whole
 one conversation is one task's; it is streamed.
 
 Defined cases: a null text is empty, a null role is an empty role; equal turn numbers are ordered by role and text; a
-null conv_id is a conversation; a conversation without assistant turns has no loss text.
+null conv_id is a conversation; a conversation without assistant turns has no loss text; an empty table has no windows; extra
+columns are not read, whatever their names; a long turn is held whole by its task, a long conversation by windows.
 """
 
 from __future__ import annotations
@@ -33,8 +39,6 @@ from tributary.llm import shared, tokens
 from tributary.llm.textcore import as_bytes, pieces
 
 BUDGET, HISTORY = 2048, 512
-#: Tokens that the template adds to a turn, about.
-FRAME = 8
 # The template's marks.
 START, END = "<|im_start|>", "<|im_end|>"
 _TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + r"\n", re.S)
@@ -54,62 +58,79 @@ def escape_role(role: str) -> str:
     return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
 
 
+def written(role: str, text: str) -> str:
+    return f"{START}{escape_role(role)}\n{escape(text)}{END}\n"
+
+
 def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role), flags=re.S)
 
 
 class Windows:
-    """Takes the turns of one conversation in order, gives windows: (text, loss spans, repeated turns, new turns)."""
+    """Takes the turns of one conversation in order, gives windows: (text, loss spans, repeated turns, new turns, tokens, over,
+    bare)."""
 
     def __init__(self, budget: int, history: int):
         self.budget, self.history = budget, history
         self.system: tuple[str, int] | None = None
-        self.past: deque[tuple[str, int]] = deque()
+        self.past: deque[tuple[str, int]] = deque()  # the latest turns of earlier windows, in `history` tokens
         self.past_tokens = 0
-        self.turns: list[tuple[str, str, int, bool]] = []  # role, written turn, tokens, is a target
+        self.repeats: list[tuple[str, int]] = []
+        self.repeated = 0
+        self.turns: list[tuple[str, str, int]] = []  # role, written turn, tokens
         self.total = self.start = 0  # running sums of tokens: of all turns, and where the window begins
         self.count = 0
+        self.bare = False
 
-    def add(self, role: str, text: str, n: int) -> Iterator[tuple]:
-        size = n + FRAME
-        room = self.budget - self._repeated_tokens()
-        if self.turns and self.total + size - self.start > room:
+    def add(self, role: str, text: str, size: int) -> Iterator[tuple]:
+        if self.turns and self.total + size - self.start > self.budget - self.repeated:
             yield self.close()
-        written = f"{START}{escape_role(role)}\n{escape(text)}{END}\n"
-        self.turns.append((role, written, size, role == "assistant"))
+        if not self.turns:
+            self._open(size)
+        self.turns.append((role, written(role, text), size))
         self.total += size
         if self.count == 0 and role == "system":
-            self.system = (written, size)
+            self.system = (self.turns[0][1], size)
         self.count += 1
 
-    def _repeats(self) -> list[tuple[str, int]]:
-        """What a window repeats: nothing at first, then the system turn and the history."""
-        if self.start == 0:
-            return []
-        return [*([self.system] if self.system else []), *self.past]
-
-    def _repeated_tokens(self) -> int:
-        return sum(n for _, n in self._repeats())
+    def _open(self, size: int) -> None:
+        """What a window repeats whose first new turn has so many tokens."""
+        room = self.budget - size
+        found: list[tuple[str, int]] = []
+        self.bare = False
+        if self.system:
+            self.bare = self.system[1] > min(room, self.budget // 2)
+            if not self.bare:
+                found.append(self.system)
+                room -= self.system[1]
+        room = min(room, self.history)
+        latest = []
+        for turn in reversed(self.past):
+            if turn[1] > room:
+                break
+            latest.append(turn)
+            room -= turn[1]
+        self.repeats = found + latest[::-1]
+        self.repeated = sum(n for _, n in self.repeats)
 
     def close(self) -> tuple:
-        repeats = self._repeats()
-        out, spans = [x for x, _ in repeats], []
+        out, loss = [x for x, _ in self.repeats], []
         at = sum(map(len, out))
-        for role, written, _, target in self.turns:
-            if target:
-                begin = at + len(START) + len(escape_role(role)) + 1
-                spans.append((begin, at + len(written) - len(END) - 1))
-            out.append(written)
-            at += len(written)
-        first = self.start == 0
-        for k, (_, written, n, _) in enumerate(self.turns):
-            if first and k == 0 and self.system:
+        for role, turn, _ in self.turns:
+            if role == "assistant":
+                begin = at + len(START) + len(role) + 1
+                loss.append((begin, at + len(turn) - len(END) - 1))
+            out.append(turn)
+            at += len(turn)
+        for k, (_, turn, n) in enumerate(self.turns):
+            if self.start == 0 and k == 0 and self.system:
                 continue  # the system turn is repeated anyway
-            self.past.append((written, n))
+            self.past.append((turn, n))
             self.past_tokens += n
         while self.past and self.past_tokens > self.history:
             self.past_tokens -= self.past.popleft()[1]
-        result = ("".join(out), spans, len(repeats), len(self.turns))
+        size = self.total - self.start + self.repeated
+        result = ("".join(out), loss, len(self.repeats), len(self.turns), size, size > self.budget, self.bare)
         self.start, self.turns = self.total, []
         return result
 
@@ -118,7 +139,8 @@ def _counter(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder_of(path)
         for batch in batches:
-            data, offsets = as_bytes(batch.column(3))
+            turns = pa.array([written(*x) for x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.large_string())
+            data, offsets = as_bytes(turns)
             counts = [encoder.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[1] for a, b in pieces(offsets, tokens.PIECE)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0, np.int64), *counts]))], names=[*batch.schema.names, "n"])
 
@@ -126,7 +148,7 @@ def _counter(path: str):
 
 
 _LOSS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_OUT = "conv_id long, window long, text string, loss array<struct<start: long, end: long>>, repeated int, fresh int"
+_OUT = "conv_id long, window long, text string, loss array<struct<start: long, end: long>>, repeated int, fresh int, tokens long, over boolean, bare boolean"
 
 
 def _former(budget: int, history: int):
@@ -136,13 +158,13 @@ def _former(budget: int, history: int):
 
         def full() -> pa.RecordBatch:
             columns = zip(*held, strict=True)
-            kinds = [pa.int64(), pa.int64(), pa.string(), _LOSS, pa.int32(), pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["conv_id", "window", "text", "loss", "repeated", "fresh"])
+            kinds = [pa.int64(), pa.int64(), pa.string(), _LOSS, pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["conv_id", "window", "text", "loss", "repeated", "fresh", "tokens", "over", "bare"])
 
         def take(found: tuple) -> None:
             nonlocal number
-            text, spans, repeated, fresh = found
-            held.append((now, number, text, [{"start": a, "end": b} for a, b in spans], repeated, fresh))
+            text, loss, *rest = found
+            held.append((now, number, text, [{"start": a, "end": b} for a, b in loss], *rest))
             number += 1
 
         for batch in batches:
@@ -165,7 +187,7 @@ def _former(budget: int, history: int):
 
 
 def form(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokenizer: str | None = None) -> DataFrame:
-    """(conv_id, window, text, loss, repeated, fresh) of all conversations (conv_id, turn, role, text)."""
+    """(conv_id, window, text, loss, repeated, fresh, tokens, over, bare) of all conversations (conv_id, turn, role, text)."""
     shared.tune(turns.sparkSession)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.mapInArrow(_counter(tokenizer or tokens.vocabulary()), "conv_id long, turn long, role string, text string, n long")
