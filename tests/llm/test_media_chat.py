@@ -75,8 +75,22 @@ def test_media_edges(spark, tmp_path):
 def test_references_without_a_payload_keep_their_row(spark):
     pages = spark.createDataFrame([(1, '<img src="sha256:aa" alt="A"><img src="sha256:bb" alt="B">'), (2, None)], "page_id long, html string")
     store = spark.createDataFrame([("aa", "payload")], "digest string, payload string")
-    rows = media.resolve(media.sequences(pages), store, ["page_id"]).orderBy("position").collect()
-    assert [(x.page_id, x.position, x.caption, x.payload) for x in rows] == [(1, 0, "A", "payload"), (1, 1, "B", None)]
+    rows = media.resolve(media.sequences(pages), store).orderBy("position").collect()
+    assert [(x.row.page_id, x.position, x.caption, x.stored and x.stored.payload) for x in rows] == [(1, 0, "A", "payload"), (1, 1, "B", None)]
+
+
+def test_clashing_names(spark):
+    pages = spark.createDataFrame([("c", "d", 9, 1, "i", "<img src='sha256:aa' alt='A'>")], "caption string, digest string, position int, n_bytes int, items string, html string")
+    store = spark.createDataFrame([("aa", "x", 3)], "digest string, caption string, position int")
+    (x,) = media.resolve(media.sequences(pages), store).collect()
+    assert (x.row.caption, x.row.digest, x.row.position, x.caption, x.position, x.ref_digest, x.stored.caption, x.stored.position) == ("c", "d", 9, "A", 0, "aa", "x", 3)
+
+
+def test_an_open_head_and_a_caption_before_its_media():
+    items = media.parse("<html><head><title>no</title><body>Yes<figure><figcaption>First</figcaption><img src='a'><img src='b' alt='x'></figure><img src='c' alt='own'>")
+    assert [(x["text"] or x["src"], x["caption"]) for x in items] == [("Yes", None), ("a", "First"), ("b", "First"), ("c", "own")]
+    assert [x["text"] for x in media.parse("<head><title>no</title><style>x</style><p>One<p>Two")] == ["One", "Two"]
+    assert [x["text"] for x in media.parse("<head><script>1 < 2</script></head>Three")] == ["Three"]
 
 
 # chat
@@ -151,8 +165,15 @@ def check_budget(turns, budget, history):
         assert fresh + repeated == len(chat._TURN.findall(text))
     assert [text[a:b] for text, loss, *_ in found for a, b in loss] == [chat.escape(t) for r, t in turns if r == "assistant"]
     system = turns[0][0] == "system" and chat.written(*turns[0])
-    for text, _, _, fresh, *_, over, bare in found[1:]:
-        assert text.startswith(system) != bare if system else not bare
+    count = lambda turn: len(encoder.ids([turn])[0])
+    for text, _, repeated, *_, bare in found[1:]:
+        if not system:
+            assert not bare
+        elif bare:
+            first = [m[0] for m in chat._TURN.finditer(text)][repeated]
+            assert count(system) > min(budget // 2, budget - count(first))
+        else:
+            assert text.startswith(system) and repeated
     return found
 
 

@@ -10,7 +10,9 @@ them to the references. What is read from a payload (its digest, checksum, featu
 scanned, once for each digest, so no payload is shuffled; the join carries only those columns.
 
 Defined cases: a null text is empty and has a payload of 64 zero bytes; equal texts share a payload and all values;
-a reference without a payload in the store keeps its row, with nulls; a null page has no items; repeated rows each give rows.
+a reference without a payload in the store keeps its row, with nulls; a null page has no items; repeated rows each give rows;
+an empty table gives no rows; extra columns may have any name, as they travel in structs; a text is held whole by its task with
+three copies of its bytes at most. A head that is not closed ends at the first element that can't stand in it; a caption before its media counts for them.
 """
 
 from __future__ import annotations
@@ -88,6 +90,7 @@ _ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.
 # Elements whose content is no text, elements that end a run of text, and elements that refer to media.
 _SILENT = {"script", "style", "template", "noscript", "head"}
 _BLOCK = {"address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul"}
+_BODY = _BLOCK | {"body", "a", "b", "em", "i", "span", "strong", "img", "video", "audio", "embed"}
 _MEDIA = {"img", "video", "audio", "source", "embed"}
 
 
@@ -97,7 +100,9 @@ class _Sequence(HTMLParser):
         self.items: list[dict] = []
         self.run: list[str] = []
         self.silent = 0
-        self.figure: list[int] = []
+        self.head = False
+        self.figure: list[int] = []  # the media of the figure that is open
+        self.named: str | None = None  # and its caption, once read
         self.caption: list[str] | None = None
 
     def flush(self) -> None:
@@ -106,35 +111,42 @@ class _Sequence(HTMLParser):
         self.run = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _SILENT:
+        if self.head and tag in _BODY:
+            self.head = False
+            self.silent = 0
+        if tag == "head":
+            self.head = True
+        elif tag in _SILENT:
             self.silent += 1
         if tag in _BLOCK:
             self.flush()
         if tag == "figure":
-            self.figure = []
+            self.figure, self.named = [], None
         elif tag == "figcaption":
             self.caption = []
-        elif tag in _MEDIA and not self.silent and (src := (held := dict(attrs)).get("src")):
+        elif tag in _MEDIA and not self.silent and not self.head and (src := (held := dict(attrs)).get("src")):
             self.flush()
             n = held.get("data-bytes") or ""
-            self.items.append({"position": len(self.items), "kind": "media", "text": None, "src": src, "digest": src.removeprefix(SCHEME) if src.startswith(SCHEME) else hashlib.sha256(src.encode("utf-8", "replace")).hexdigest(), "caption": held.get("alt"), "n_bytes": int(n) if n.isascii() and n.isdigit() else None})
+            self.items.append({"position": len(self.items), "kind": "media", "text": None, "src": src, "digest": src.removeprefix(SCHEME) if src.startswith(SCHEME) else hashlib.sha256(src.encode("utf-8", "replace")).hexdigest(), "caption": held.get("alt") if self.named is None else self.named, "n_bytes": int(n) if n.isascii() and n.isdigit() else None})
             self.figure.append(len(self.items) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _SILENT:
+        if tag == "head":
+            self.head = False
+        elif tag in _SILENT:
             self.silent = max(0, self.silent - 1)
         if tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
+            self.named = " ".join("".join(self.caption).split())
             for k in self.figure:
-                self.items[k]["caption"] = text
+                self.items[k]["caption"] = self.named
             self.caption = None
         elif tag == "figure":
-            self.figure = []
+            self.figure, self.named = [], None
         if tag in _BLOCK:
             self.flush()
 
     def handle_data(self, data: str) -> None:
-        if self.silent:
+        if self.silent or self.head:
             return
         (self.run if self.caption is None else self.caption).append(data)
 
@@ -162,15 +174,16 @@ def sequences(pages: DataFrame, html: str = "html") -> DataFrame:
     return frame.mapInArrow(run, T.StructType([frame.schema["row"], T.StructField("items", T.ArrayType(ITEM))]))
 
 
-def resolve(found: DataFrame, store: DataFrame, keep: list[str]) -> DataFrame:
-    """One row for each media reference: keep (columns of row), position, caption, n_bytes, and the store's columns.
+def resolve(found: DataFrame, store: DataFrame) -> DataFrame:
+    """(row, position, caption, n_bytes, ref_digest, stored): one row for each media reference; stored has the store's columns.
 
     store has one row for each digest. A hot digest is one that many references share: the join is an ordinary
     shuffled one, which adaptive execution splits by references.
     """
-    refs = found.select(*[F.col(f"row.`{c}`") for c in keep], F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("item"))
-    refs = refs.select(*keep, "item.position", "item.caption", "item.n_bytes", F.col("item.digest").alias("ref_digest"))
-    return refs.join(store, F.col("ref_digest") == F.col("digest"), "left").drop("digest")
+    refs = found.select("row", F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("item"))
+    refs = refs.select("row", "item.position", "item.caption", "item.n_bytes", F.col("item.digest").alias("ref_digest"))
+    held = store.select(F.col("digest").alias("_of"), F.struct(*[F.col(f"`{c}`") for c in store.columns]).alias("stored"))
+    return refs.join(held, F.col("ref_digest") == F.col("_of"), "left").drop("_of")
 
 
 def figures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -220,5 +233,6 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     figures(shared.table(spark, sf_dir, "documents")).write.parquet(folder)
     files = spark.read.parquet(folder)
     store = shared.cut(read_back(files))
-    found = resolve(sequences(files.select("doc_id", "html")), store, ["doc_id"])
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    pages = sequences(files.select("doc_id", "html")).select(F.struct("row.doc_id").alias("row"), "items")
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    return resolve(pages, store).select("row.doc_id", "n_bytes", *[f"stored.{x}" for x in names], "position", "caption")
