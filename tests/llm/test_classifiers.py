@@ -1,3 +1,6 @@
+import math
+import random
+import re
 import zlib
 
 import numpy as np
@@ -116,3 +119,79 @@ def test_long_texts_are_counted_in_parts(monkeypatch):
     for piece in (1, 2, 3, 7, 100, 999):
         monkeypatch.setattr(langid, "PIECE", piece)
         assert (langid.counted([text]) == whole).all()
+
+
+def brute_grams(text):
+    out = {}
+    low = text.lower()
+    for n in (1, 2, 3):
+        for k in range(len(low) - n + 1):
+            h = 0
+            for c in low[k : k + n]:
+                h = (h * 0x100000001B3 + ord(c)) % (1 << 64)
+            x = (h + n) % (1 << 64)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+                x = (x ^ (x >> shift)) * factor % (1 << 64)
+            out[x >> 50] = out.get(x >> 50, 0) + 1
+    return out
+
+
+def test_language_scores_against_brute_force(spark):
+    rng = random.Random(1)
+    rows = [(k, "".join(rng.choices("abcdé 漢." if k % 2 else "xyzaÉ ,", k=rng.randrange(1, 60))), "one" if k % 2 else "two") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = {"one": {}, "two": {}}
+    for doc_id, text, lang in rows:
+        if not held(doc_id, 4, 2):
+            for b, n in brute_grams(text).items():
+                counts[lang][b] = counts[lang].get(b, 0) + n
+    total = {x: sum(c.values()) + 0.5 * langid.BUCKETS for x, c in counts.items()}
+    found = {x.row.doc_id: x for x in langid.annotate(docs, langid.fit(langid.learnable(docs))).collect()}
+    for doc_id, text, _ in rows:
+        if not any(c.isalpha() for c in text):
+            assert found[doc_id].lang_pred == "und"
+            continue
+        logs = {x: sum(n * math.log((counts[x].get(b, 0) + 0.5) / total[x]) for b, n in brute_grams(text).items()) for x in counts}
+        best = max(logs, key=logs.get)
+        assert found[doc_id].lang_pred == best
+        assert abs(found[doc_id].score - 1 / sum(math.exp(v - logs[best]) for v in logs.values())) < 1e-9
+
+
+def brute_features(text, vectors, weight):
+    """The numbers of a text, word by word."""
+    words = [m[0] for m in re.finditer(rb"[A-Za-z0-9\x80-\xff]+|[!-/:-@\[-`{-~]+", text.encode())]
+    hashed = [int(quality.Tokens(np.frombuffer(w, np.uint8), np.array([0, len(w)])).hashes[0]) for w in words]
+    mean, shapes, total = np.zeros(quality.DIM), np.zeros(8), 0.0
+    for w, h in zip(words, hashed, strict=True):
+        mean += vectors[h >> 51] * weight[h >> 51]
+        total += weight[h >> 51]
+        upper, digit = sum(65 <= b <= 90 for b in w), sum(48 <= b <= 57 for b in w)
+        mark = not re.match(rb"[A-Za-z0-9\x80-\xff]", w)
+        kind = (7 if len(w) > 1 else 6) if mark else (4 if digit == len(w) else 5) if digit else min(upper, 1) if upper < 2 and upper != len(w) else (1 if upper == 1 else 2 if upper == len(w) else 3)
+        shapes[kind] += 1
+    n = max(1, len(words))
+    unlike = len(set(hashed)) / n
+    again = sum(a == b for a, b in zip(hashed, hashed[1:], strict=False)) / n
+    return np.array([*(mean / max(total, 1e-9)), *(shapes / n), math.log1p(len(words)), unlike, again, math.log1p(sum(map(len, words)) / n), unlike * math.log1p(len(words))])
+
+
+def test_quality_scores_against_brute_force(monkeypatch):
+    g, rng = np.random.default_rng(2), random.Random(3)
+    vectors, weight = g.normal(size=(quality.BUCKETS, quality.DIM)), g.uniform(size=quality.BUCKETS)
+    parts = ["word", "Word", "WORD", "wOrD", "A", "7", "x9", "!", "...", " ", "  ", "\n", "é", "漢", "word word"]
+    texts = ["", " ", "one", *["".join(rng.choices(parts, k=rng.randrange(1, 80))) for _ in range(60)]]
+    want = np.array([brute_features(t, vectors, weight) for t in texts])
+    assert np.allclose(quality.features(pa.array(texts), vectors, weight), want)
+    assert np.allclose(quality.features(pa.array([None], pa.string()), vectors, weight), want[:1])
+    with monkeypatch.context() as m:  # each text in spans
+        m.setattr(quality, "LONG", 1)
+        m.setattr(quality, "PIECE", 5)
+        assert np.allclose(np.concatenate([quality.features(pa.array([t]), vectors, weight) for t in texts]), want)
+    net = quality.Network(want, np.arange(len(want)) % 2)
+    z = np.clip((want - net.mean) / net.scale, -8, 8)
+    for k, x in enumerate(want):
+        words = round(math.expm1(x[quality.DIM + 8]))
+        scaled = [v * math.sqrt(words / (words + quality.SHRINK)) for v in z[k]]
+        hidden = [math.tanh(sum(v * net.p[0][i][j] for i, v in enumerate(scaled)) + net.p[1][j]) for j in range(quality.HIDDEN)]
+        logit = (sum(h * w for h, w in zip(hidden, net.p[2], strict=True)) + net.p[3][0]) / net.temperature
+        assert abs(net.scores(want)[k] - 1 / (1 + math.exp(-logit))) < 1e-9

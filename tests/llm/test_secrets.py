@@ -125,3 +125,40 @@ def test_the_model_adds_keys_without_a_pattern(spark, medium):
     assert hits >= 34
     clean = op.scan(pa.array(["The quick brown fox jumps over the lazy dog, and then it sleeps.", "Er sagt: das ist gut so."]), model)
     assert all(not a and not b for a, b in clean)
+
+
+def test_long_texts_in_spans(monkeypatch):
+    rng = random.Random(5)
+    g = np.random.default_rng(6)
+    model = op.Crf()
+    model.weights, model.pairs = (g.normal(0, 1, x.shape).astype(np.float32) for x in (model.weights, model.pairs))
+    parts = ["a", "bb1", "=", "\n", "\n\n", "Zz9", "é", "password=hunter22x", "k3y_abcdefgh", " "]
+    texts = ["".join(rng.choices(parts, k=300)) for _ in range(5)]
+    whole = [op.scan(pa.array([t]), model)[0] for t in texts]
+    with monkeypatch.context() as m:  # lines are shorter than spans
+        m.setattr(op, "LONG", 50)
+        m.setattr(op, "PIECE", 400)
+        assert [op.scan(pa.array([t]), model)[0] for t in texts] == whole
+    monkeypatch.setattr(op, "LONG", 50)
+    monkeypatch.setattr(op, "PIECE", 60)
+    line = "".join(rng.choices([x for x in parts if "\n" not in x], k=400))
+    base, added = op.scan(pa.array([line]), model)[0]
+    assert sorted(base) == brute(line) and all(a < b <= len(line) for a, _, b in added)
+
+
+def test_added_spans_lie_apart_from_base_ones():
+    rng = random.Random(7)
+    for _ in range(300):
+        found = sorted((a, 0, a + rng.randrange(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randrange(6))))
+        more = sorted((a, a + rng.randrange(1, 9)) for a in (rng.randrange(60) for _ in range(5)))
+        assert op._clear(found, more) == [(a, b) for a, b in more if all(b <= x or a >= y for x, _, y in found)]
+
+
+def test_rare_matches_are_found_in_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(op, "SAMPLE", 3)
+    monkeypatch.setattr(op, "AHEAD", 1)
+    rows = [f"plain words number {k}" for k in range(400)] + [f"here password=hunter{k}22x" for k in range(6)]
+    seen = []
+    monkeypatch.setattr(op.Crf, "fit", lambda self, index, tags, mask: seen.append(int((tags == 1).any(axis=1).sum())))
+    op.fit(spark.createDataFrame([(x,) for x in rows], "text string").repartition(4))
+    assert seen and seen[0] >= 3

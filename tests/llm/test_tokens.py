@@ -68,6 +68,34 @@ def test_a_full_table_of_segments_changes_nothing(plain, monkeypatch):
         assert len(held.keys) <= 40
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(ALPHABET), max_size=200).map("".join))
+def test_long_texts_in_spans(text):
+    held = tokens.encoder_of(tokens.vocabulary())
+    was = tokens.LONG, tokens.PIECE
+    tokens.LONG, tokens.PIECE = 5, 9
+    try:
+        assert encoded(held, [text]) == [held.ids([text])[0]]
+    finally:
+        tokens.LONG, tokens.PIECE = was
+
+
+def test_segments_of_equal_hash_are_told_apart(plain, monkeypatch):
+    monkeypatch.setattr(tokens.Encoder, "_hashes", lambda self, data, starts, ends: (ends - starts).astype(np.uint64) * np.uint64(1 << 40))
+    held, rng = tokens.Encoder(tokens.vocabulary()), random.Random(4)
+    for _ in range(10):
+        texts = [" ".join("".join(rng.choices("abcdé", k=rng.randrange(1, 9))) for _ in range(30)) for _ in range(3)]
+        assert encoded(held, texts) == [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_blocks_of_ids_are_packed_alike_whatever_is_held(monkeypatch):
+    ids = np.random.default_rng(5).integers(0, 1 << 40, 5000).astype(np.uint64) >> np.random.default_rng(6).integers(0, 40, 5000).astype(np.uint64)
+    words, offsets = simple8b.encode(ids)
+    monkeypatch.setattr(simple8b, "TOGETHER", 3)
+    again, at = simple8b.encode(ids)
+    assert (again == words).all() and (at == offsets).all() and (simple8b.decode(words, offsets, len(ids)) == ids).all()
+
+
 def check(spark, rows, plain):
     """rows: (doc_id, text); documents of equal id may stand in any order among themselves."""
     frame = spark.createDataFrame(rows, "doc_id long, text string")

@@ -6,7 +6,8 @@ number of buckets is a parameter, and more than ``MAX_LANGS`` languages are refu
 from the non-zero counts of each text.
 
 Defined cases: a null text, or one without any letter, is `und` with score 0; with no training rows every text is `und`;
-ties go to the language that sorts first; repeated rows each give a row; null lang or doc_id never trains.
+ties go to the language that sorts first; repeated rows each give a row; null lang or doc_id never trains; an empty table gives
+no rows; extra columns may have any name, as they travel in a struct; a long text is counted in parts of 512 K characters.
 """
 
 from __future__ import annotations
@@ -58,17 +59,19 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
         yield low, high, [x or "" for x in column.slice(low, high - low).to_pylist()]
 
 
-def counted(texts: list[str]) -> np.ndarray:
-    """Counts of (row, bucket); one long text goes through in parts that overlap, and no n-gram counts twice."""
-    total = np.zeros(len(texts) * BUCKETS, np.int64)
+def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """row * BUCKETS + bucket of the n-grams of some texts, in order and each once, and how many there are; one long text
+    goes through in parts that overlap, and no n-gram counts twice."""
     over = max(ORDERS) - 1
     if len(texts) == 1 and len(texts[0]) > PIECE:
+        total = np.zeros(BUCKETS, np.int64)
         for at in range(0, len(texts[0]), PIECE):
             _, bucket = ngrams([texts[0][max(0, at - over) : at + PIECE]], skip=min(at, over))
             total += np.bincount(bucket, minlength=BUCKETS)
-        return total
+        some = np.flatnonzero(total)
+        return some, total[some]
     row, bucket = ngrams(texts)
-    return total + np.bincount(row.astype(np.int64) * BUCKETS + bucket, minlength=len(total))
+    return np.unique(row.astype(np.int64) * BUCKETS + bucket, return_counts=True)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +86,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     sums[name] = np.zeros(BUCKETS, np.int64)
                 # a language's texts are one row; between two of them no n-gram counts
                 if len(mine) == 1:
-                    sums[name] += counted(mine)
+                    at, n = counted(mine)
+                    sums[name][at] += n
                 else:
                     sums[name] += np.bincount(ngrams(mine)[1], minlength=BUCKETS)
     for name, counts in sums.items():
@@ -102,12 +106,10 @@ class Model:
         logs = np.zeros((len(texts), len(self.langs)))
         step = 256
         for low in range(0, len(texts), step):
-            # rows are few in a part, so the counts are dense here and only their non-zero entries are scored
-            counts = counted(texts[low : low + step])
-            at = np.flatnonzero(counts)
+            at, n = counted(texts[low : low + step])
             if not len(at):
                 continue
-            weighed = self.matrix[at & (BUCKETS - 1)] * counts[at, None]
+            weighed = self.matrix[at & (BUCKETS - 1)] * n[:, None]
             owner = at // BUCKETS
             first = np.flatnonzero(np.diff(owner, prepend=-1))
             logs[low + owner[first]] = np.add.reduceat(weighed, first, axis=0)

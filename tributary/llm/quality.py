@@ -11,7 +11,10 @@ labelled rows, those of the least hash of doc_id. The statistics cover all docum
 part, and no id, language, source or label is an input of a score.
 
 Defined cases: a null or empty text has the features of no words and is scored like any other; a label of null is no
-label, several of one document count as their majority; with no labels the score is 0.5; repeated rows each give a row.
+label, several of one document count as their majority; with no labels the score is 0.5; repeated rows each give a row; an
+empty table gives no rows; of labels of equal hash those of the least doc_id are taken; extra columns may have any name, as
+they travel in a struct. A text of more than ``LONG`` bytes is pooled in spans, which neighbours do not reach across: about 3
+bytes of memory for each of its bytes and 8 for each distinct word, and 100 MB.
 """
 
 from __future__ import annotations
@@ -24,13 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import shared
-from tributary.llm.textcore import BYTE_VALUES, as_bytes, hashes, mix, pieces, runs
+from tributary.llm.textcore import BYTE_VALUES, as_bytes, hashes, mix, pieces, runs, spans, tally
 
 BUCKETS, DIM, NONZERO, REACH = 1 << 13, 32, 2, 2
 TRAIN_ROWS = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SHRINK = 32, 40, 256, 3e-3, 1e-3, 4
 THRESHOLD = 0.3
-PIECE = 1 << 20
+PIECE = 1 << 18
+#: A text of more bytes is pooled in spans of about a piece.
+LONG = 1 << 20
 
 _WORD = np.zeros(256, bool)
 _MARK = np.zeros(256, bool)
@@ -43,6 +48,16 @@ for _b in range(33, 256):
     _MARK[_b] = not _WORD[_b] and _b != 127
 _FOLD[65:91] += 32
 SHAPES = 8
+_KINDS = _WORD.astype(np.uint8) + 2 * _MARK.astype(np.uint8)
+
+
+def _spans(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The bytes and offsets of some rows, in spans if they are one long row."""
+    if len(offsets) != 2 or len(data) <= LONG:
+        yield data, offsets
+        return
+    for low, high in spans(data, _KINDS, PIECE):
+        yield data[low:high], np.array([0, high - low])
 
 
 class Tokens:
@@ -58,8 +73,7 @@ class Tokens:
         self.counts = np.diff(bounds)
         self.row = np.repeat(np.arange(len(self.counts)), self.counts)
         size = self.ends - self.starts
-        tally = lambda member: (held := np.concatenate([[0], np.cumsum(member[data])]))[self.ends] - held[self.starts]
-        upper, digit = tally(_UPPER), tally(_DIGIT)
+        upper, digit = tally(_UPPER, data, self.starts, self.ends), tally(_DIGIT, data, self.starts, self.ends)
         shape = np.where(upper == 0, 0, np.where(upper == 1, 1, np.where(upper == size, 2, 3)))
         shape = np.where(digit > 0, np.where(digit == size, 4, 5), shape)
         self.shape = np.where(mark, np.where(size > 1, 7, 6), shape)
@@ -75,13 +89,18 @@ class Tokens:
         return out
 
 
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> Iterator[Tokens]:
+    for low, high in pieces(offsets, PIECE):
+        for part in _spans(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]):
+            yield Tokens(*part)
+
+
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) to (bucket, n, v0 ...): what a task's words add to the vectors."""
     total, seen = np.zeros(BUCKETS * DIM, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
         data, offsets = as_bytes(batch.column(0))
-        for low, high in pieces(offsets, PIECE):
-            t = Tokens(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+        for t in _tokens(data, offsets):
             seen += np.bincount(t.bucket, minlength=BUCKETS)
             index = t.index()
             for step in range(1, REACH + 1):
@@ -102,7 +121,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nd
     """Unit vectors of all buckets, and the weight of each, from all documents."""
     shared.tune(docs.sparkSession)
     names = [f"v{k}" for k in range(DIM)]
-    rows = docs.select(F.col(text).alias("text")).where("text IS NOT NULL").mapInArrow(_sums, "bucket int, n long, " + ", ".join(f"{x} int" for x in names))
+    rows = docs.select(F.col(f"`{text}`").alias("text")).where("text IS NOT NULL").mapInArrow(_sums, "bucket int, n long, " + ", ".join(f"{x} int" for x in names))
     table = rows.groupBy("bucket").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names]).toArrow()  # at most BUCKETS rows
     vectors, weight = np.zeros((BUCKETS, DIM)), np.ones(BUCKETS)
     if len(table):
@@ -117,31 +136,58 @@ def word_vectors(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nd
 WIDTH = DIM + SHAPES + 5
 
 
+class Pool:
+    """Sums over the words of some rows, to which spans of them are added."""
+
+    def __init__(self, rows: int):
+        self.vectors, self.shapes = np.zeros((rows, DIM)), np.zeros((rows, SHAPES))
+        self.weight, self.words, self.bytes, self.distinct, self.again = (np.zeros(rows) for _ in range(5))
+        self.last: np.uint64 | None = None
+
+    def add(self, t: Tokens, vectors: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Adds a span; returns the hashes of its distinct words by row."""
+        n = len(t.counts)
+        first = np.flatnonzero(np.diff(t.row, prepend=-1))
+        w = weight[t.bucket]
+        self.vectors[t.counts > 0] += np.add.reduceat(vectors[t.bucket] * w[:, None], first, axis=0)
+        self.weight += np.bincount(t.row, w, n)
+        self.shapes += np.bincount(t.row * SHAPES + t.shape, minlength=n * SHAPES).reshape(n, SHAPES)
+        self.words += t.counts
+        self.bytes += np.bincount(t.row, t.size, n)
+        again = np.zeros(len(t.row), bool)
+        again[1:] = (t.hashes[1:] == t.hashes[:-1]) & (t.row[1:] == t.row[:-1])
+        again[0] = self.last is not None and self.last == t.hashes[0]  # the span before ended with this word
+        self.last = t.hashes[-1]
+        self.again += np.bincount(t.row[again], minlength=n)
+        kinds, at = np.unique(t.hashes ^ mix(t.row.astype(np.uint64) + np.uint64(1)), return_index=True)
+        self.distinct += np.bincount(t.row[at], minlength=n)
+        return kinds
+
+    def numbers(self) -> np.ndarray:
+        """WIDTH numbers for each row; zeros for no words."""
+        total = np.maximum(self.words, 1)
+        unlike = self.distinct / total
+        mean = self.vectors / np.maximum(self.weight, 1e-9)[:, None]
+        many = np.log1p(self.words)
+        return np.column_stack([mean, self.shapes / total[:, None], many, unlike, self.again / total, np.log1p(self.bytes / total), unlike * many])
+
+
 def features(column: pa.Array, vectors: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """One row of WIDTH numbers for each text."""
     data, offsets = as_bytes(column)
     out = np.zeros((len(offsets) - 1, WIDTH))
     for low, high in pieces(offsets, PIECE):
-        t = Tokens(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-        n, mine = high - low, out[low:high]
-        if not len(t.row):
-            continue
-        some = t.counts > 0
-        first = np.flatnonzero(np.diff(t.row, prepend=-1))
-        total = np.maximum(t.counts, 1)[:, None]
-        w = weight[t.bucket]
-        mine[some, :DIM] = np.add.reduceat(vectors[t.bucket] * w[:, None], first, axis=0)
-        mine[:, :DIM] /= np.maximum(np.bincount(t.row, w, n), 1e-9)[:, None]
-        mine[:, DIM : DIM + SHAPES] = np.bincount(t.row * SHAPES + t.shape, minlength=n * SHAPES).reshape(n, SHAPES) / total
-        pairs = np.unique(t.hashes ^ mix(t.row.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
-        again = np.zeros(len(t.row), bool)
-        again[1:] = (t.hashes[1:] == t.hashes[:-1]) & (t.row[1:] == t.row[:-1])
-        rest = mine[:, DIM + SHAPES :]
-        rest[:, 0] = np.log1p(t.counts)
-        rest[:, 1] = np.bincount(t.row[pairs], minlength=n) / total[:, 0]
-        rest[:, 2] = np.bincount(t.row[again], minlength=n) / total[:, 0]
-        rest[:, 3] = np.log1p(np.bincount(t.row, t.size, n) / total[:, 0])
-        rest[:, 4] = rest[:, 1] * rest[:, 0]
+        pool, kinds = Pool(high - low), np.zeros(0, np.uint64)
+        for part in _spans(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]):
+            t = Tokens(*part)
+            if not len(t.row):
+                continue
+            more = pool.add(t, vectors, weight)
+            if len(kinds):  # another span of one long text
+                more = np.union1d(kinds, more)
+                pool.distinct[0] = len(more)
+            kinds = more
+        out[low:high] = pool.numbers()
     return out
 
 
@@ -177,7 +223,7 @@ class Network:
         self.temperature = 1.0
         logit, truth = self._logit(z[held]), y[held]
         loss = lambda t: float(np.mean(np.logaddexp(0, -np.where(truth > 0.5, 1, -1) * logit / t)))
-        self.temperature = min(np.geomspace(1, 8, 31), key=loss)
+        self.temperature = min(np.geomspace(1 / 8, 8, 61), key=loss)
 
     def _standard(self, x: np.ndarray) -> np.ndarray:
         """Inputs by mean and deviation; those of few words are drawn to the mean, as their shares say little."""
@@ -216,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, text:
     # first about twice as many by hash, so that what meets in one place does not grow with the labels
     share = int((1 << 30) * min(1.0, 2 * train_rows / max(1, labels.count())))
     sample = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")  # at most train_rows rows are broadcast
+    rows = docs.select("doc_id", F.col(f"`{text}`").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")  # at most train_rows rows are broadcast
     found = rows.mapInArrow(run, "doc_id long, label int, x array<float>").groupBy("doc_id").agg(F.first("label").alias("label"), F.min("x").alias("x"))
     table = found.toArrow().sort_by("doc_id")
     x = np.array(table["x"].combine_chunks().flatten(), np.float64).reshape(-1, WIDTH) if len(table) else np.zeros((0, WIDTH))

@@ -4,21 +4,27 @@ Tokens are runs of ASCII letters, digits, ``_ - . + /`` or characters from U+008
 is a sequence. Each token has hashed features: its shape and length, its word, its first four bytes, the two tokens before
 and the one after, how letters and digits change in it, and features of its file (shares of digits and of punctuation).
 A tag is O, B or I (outside, begin, inside a secret); I never follows O nor starts a line. Weights are learned by gradient
-descent on the exact log-likelihood, from at most ``SAMPLE`` snippets around base matches, as many snippets without one (out
-of about ``AHEAD * SAMPLE`` documents of least checksum), and the latter again with made-up keys of well-known forms inside. Decoding is Viterbi over whole lines of any length: the
-tokens of a batch are one chain that restarts at each line, cut in blocks; all blocks are solved side by side for each
-state they may begin in, joined by a chain over blocks, then traced back side by side. That is exact.
+descent on the exact log-likelihood, from at most ``SAMPLE`` snippets around base matches (those of least checksum in all
+documents), as many snippets without one (out of about ``AHEAD * SAMPLE`` documents of least checksum), and the latter again
+with made-up keys of well-known forms inside. Decoding is Viterbi over whole lines: the tokens of a batch are one chain that
+restarts at each line, cut in blocks; all blocks are solved side by side for each state they may begin in, joined by a chain
+over blocks, then traced back side by side. That is exact. A text of more than ``LONG`` bytes is tagged in spans that end at a
+line's end; of a longer line each span is a sequence, and spans of secrets that touch are one.
 
 Base spans always stay and cover the whole match of their pattern. A decoded span is added (kind `crf`) if it has at least
 ``LEAST`` characters and does not overlap a base span.
 
-Defined cases: a null text is empty and has no spans; repeated rows each give a row; with no snippets only base spans are given.
+Defined cases: a null text is empty and has no spans; repeated rows each give a row; with no snippets only base spans are given;
+an empty table gives no rows and a model of no snippets; snippets of equal checksum are taken in order of their text; extra
+columns may have any name, as they travel in a struct. Base patterns run over a whole text at once, with two copies of its
+bytes; all else is held by spans: about 10 bytes of memory for each byte of a text, and 300 MB.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tributary.llm import shared
-from tributary.llm.textcore import BYTE_VALUES, as_bytes, hashes, mix, pieces, runs
+from tributary.llm.textcore import BYTE_VALUES, as_bytes, hashes, mix, pieces, runs, spans, tally
 
 # The base patterns.
 ASSIGN = re.compile(rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -42,6 +48,8 @@ SAMPLE, AHEAD = 2000, 24
 CONTEXT, WIDTH = 160, 96
 SPACE = 1 << 16
 PIECE = 1 << 20
+#: A text of more bytes is tagged in spans of about a piece.
+LONG = 2 << 20
 U = np.uint64
 
 _HEX = np.zeros(256, bool)
@@ -75,6 +83,39 @@ def base(data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int, int
     return out
 
 
+_ONE = np.arange(256) == 1
+_KINDS = _BODY.astype(np.uint8) + 2 * _SIGN.astype(np.uint8)
+
+
+def _file(total: np.ndarray, digits: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """The features of files with so many tokens, tokens with digits, and tokens of signs."""
+    total = np.maximum(total, 1)
+    return np.minimum(digits * 16 // total, 7) * 8 + np.minimum(signs * 16 // total, 7)
+
+
+def _file_of(data: np.ndarray) -> np.ndarray:
+    """The features of one file, a span at a time."""
+    seen = np.zeros((3, 1), np.int64)
+    for low, high in spans(data, _KINDS, PIECE):
+        part, zero = data[low:high], np.array([0])
+        starts, ends = runs(_BODY[part], zero)
+        signs = len(runs(_SIGN[part], zero)[0])
+        seen[:, 0] += len(starts) + signs, np.count_nonzero(tally(_DIGIT, part, starts, ends)), signs
+    return _file(*seen)
+
+
+def _lines(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Spans of about a piece; one ends at a line's end, or, if the line is longer, where a token does."""
+    low, n = 0, len(data)
+    while low < n:
+        high = min(n, low + PIECE)
+        if high < n:
+            ends = np.flatnonzero(data[low:high] == 10)
+            high = low + (int(ends[-1]) + 1 if len(ends) else next(spans(data[low:], _KINDS, PIECE))[1])
+        yield low, high
+        low = high
+
+
 class Chain:
     """Tokens of some rows with their features; first: which tokens start a line."""
 
@@ -84,27 +125,22 @@ class Chain:
         order = np.argsort(starts, kind="stable")
         self.starts, self.ends = starts[order], np.concatenate([b, d])[order]
         n = len(self.starts)
-        sums = lambda member: np.concatenate([[0], np.cumsum(member[data], dtype=np.int32)])
-        inside = lambda s: s[self.ends] - s[self.starts]
-        lines = np.concatenate([[0], np.cumsum(data == 10, dtype=np.int32)])[self.starts]
+        count = lambda member: tally(member, data, self.starts, self.ends)
+        lines = np.searchsorted(np.flatnonzero(data == 10), self.starts)
         self.row = np.searchsorted(offsets, self.starts, side="right") - 1
         self.first = np.ones(n, bool)
         self.first[1:] = (lines[1:] != lines[:-1]) | (self.row[1:] != self.row[:-1])
         size = self.ends - self.starts
-        lower, upper, digit, body, hexes = (inside(sums(x)) for x in (_LOWER, _UPPER, _DIGIT, _BODY, _HEX))
-        change = np.zeros(len(data) + 1, np.int32)
-        if len(data):
-            np.cumsum(np.concatenate([[False], _DIGIT[data[1:]] != _DIGIT[data[:-1]]]), out=change[1:], dtype=np.int32)
-        turns = np.minimum((change[self.ends] - change[np.minimum(self.starts + 1, self.ends)]) if n else np.zeros(0, np.int32), 15)
+        lower, upper, digit, body, hexes = (count(x) for x in (_LOWER, _UPPER, _DIGIT, _BODY, _HEX))
+        change = np.zeros(len(data), np.uint8)
+        change[1:] = _DIGIT[data[1:]] != _DIGIT[data[:-1]]
+        turns = np.minimum(tally(_ONE, change, np.minimum(self.starts + 1, self.ends), self.ends), 15)
         length = np.minimum(np.log2(np.maximum(size, 1)) * 2, 15).astype(np.int64)
         shape = (lower > 0) | (upper > 0) << 1 | (digit > 0) << 2 | (body == 0) << 3 | (hexes == size) << 4 | (lower + upper + digit < body) << 5
-        self.file = np.zeros(len(offsets) - 1, np.int64)
-        if file_bits is not None:
-            self.file = file_bits
-        elif n:
-            total = np.maximum(np.bincount(self.row, minlength=len(self.file)), 1)
-            share = lambda mask: np.minimum(np.bincount(self.row[mask], minlength=len(self.file)) * 16 // total, 7)
-            self.file = share(digit > 0) * 8 + share(body == 0)
+        if file_bits is None:
+            rows = len(offsets) - 1
+            file_bits = _file(*(np.bincount(self.row[x], minlength=rows) for x in (slice(None), digit > 0, body == 0)))
+        self.file = file_bits
         word = hashes(BYTE_VALUES[_FOLD], data, self.starts, self.ends)
         head = hashes(BYTE_VALUES, data, self.starts, np.minimum(self.starts + 4, self.ends))
         near = lambda by: np.concatenate([np.zeros(by, np.uint64), word[:-by]]) if n > by else np.zeros(n, np.uint64)
@@ -264,29 +300,34 @@ def _secret(text: bytes, start: int, kind: int, end: int) -> tuple[int, int]:
 
 
 def _snippets(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """(text) to (positive, rank, file, text): a snippet of each row whose rank, the text's checksum, is at most `most`,
-    around a base match if it has one; a task keeps the SAMPLE of least rank with a match, and without."""
+    """(text) to (positive, rank, file, text): a snippet around a base match of each row that has one, and of each other row
+    whose rank, the text's checksum, is at most `most`; a task keeps the SAMPLE of least rank with a match, and without."""
     kept: dict[bool, list] = {True: [], False: []}
+    bound = {True: 1 << 32, False: most}  # greater ranks are not kept
     for batch in batches:
         data, offsets = as_bytes(batch.column(0))
         for low, high in pieces(offsets, PIECE):
             part, at = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
             ranks = [zlib.crc32(part[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            if min(ranks) > most:
+            if min(ranks) > max(bound.values()):
                 continue
-            found, chain = base(part, at), Chain(part, at)
+            found = base(part, at)
             for k, rank in enumerate(ranks):
-                if rank > most:
+                positive = bool(found[k])
+                if rank > bound[positive]:
                     continue
                 text = part[at[k] : at[k + 1]].tobytes()
-                middle = found[k][rank % len(found[k])][0] if found[k] else rank % max(1, len(text))
+                middle = found[k][rank % len(found[k])][0] if positive else rank % max(1, len(text))
                 snippet = text[max(0, middle - CONTEXT) : middle + CONTEXT]
                 snippet = snippet.decode("utf-8", "ignore")
-                if snippet and bool(found[k]) == bool(base(*as_bytes(pa.array([snippet])))[0]):
-                    kept[bool(found[k])].append((rank, int(chain.file[k]), snippet))
+                if snippet and positive == bool(base(*as_bytes(pa.array([snippet])))[0]):
+                    kept[positive].append((rank, int(_file_of(part[at[k] : at[k + 1]])[0]), snippet))
         for k, rows in kept.items():
-            kept[k] = sorted(set(rows))[:SAMPLE]
-    rows = [(k, *x) for k in kept for x in kept[k]]
+            if len(rows) > SAMPLE:
+                kept[k] = sorted(set(rows))[:SAMPLE]
+                if len(kept[k]) == SAMPLE:
+                    bound[k] = kept[k][-1][0]
+    rows = [(k, *x) for k in kept for x in sorted(set(kept[k]))]
     a, b, c, d = zip(*rows, strict=True) if rows else ((), (), (), ())
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.bool_()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.string())], names=["positive", "rank", "file", "text"])
 
@@ -294,9 +335,9 @@ def _snippets(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
 def fit(docs: DataFrame, text: str = "text") -> Crf:
     """A model learned from at most SAMPLE snippets with a base match and as many without."""
     shared.tune(docs.sparkSession)
-    # about AHEAD * SAMPLE rows are looked at, however many there are
+    # of those without a match about AHEAD * SAMPLE rows are looked at, however many there are
     most = int((1 << 32) * min(1.0, AHEAD * SAMPLE / max(1, docs.count())))
-    rows = shared.cut(docs.select(F.col(text).alias("text")).where("text <> ''").mapInArrow(lambda x: _snippets(x, most), "positive boolean, rank long, file long, text string"))
+    rows = shared.cut(docs.select(F.col(f"`{text}`").alias("text")).where("text <> ''").mapInArrow(lambda x: _snippets(x, most), "positive boolean, rank long, file long, text string"))
     # the least are found by executors, so the driver gets SAMPLE rows whatever the number of tasks
     least = lambda flag: [(x.file, x.text) for x in shared.cut(rows.where(F.col("positive") == flag).orderBy("rank", "text", "file").limit(SAMPLE)).collect()]
     rng = np.random.default_rng(11)
@@ -334,6 +375,62 @@ def fit(docs: DataFrame, text: str = "text") -> Crf:
     return model
 
 
+def _points(data: np.ndarray, places: list[int]) -> dict[int, int]:
+    """How many code points begin before each of these byte places."""
+    out, last, held = {}, 0, 0
+    for place in sorted(set(places)):
+        for low in range(last, place, PIECE):
+            held += int(np.count_nonzero((data[low : min(place, low + PIECE)] & 0xC0) != 0x80))
+        out[place], last = held, place
+    return out
+
+
+def _tagged(part: np.ndarray, at: np.ndarray, model: Crf, file_bits: np.ndarray | None = None) -> Iterator[tuple[int, int, int]]:
+    """(row, start, end) of the decoded spans, in bytes of the row."""
+    chain = Chain(part, at, file_bits)
+    tags = model.decode(chain)
+    inside = np.append((tags == 2) & ~chain.first, False)
+    begins = np.flatnonzero(tags == 1)
+    stops = np.flatnonzero(~inside)
+    ends = stops[np.searchsorted(stops, begins + 1)] - 1
+    rows = chain.row[begins]
+    yield from zip(rows.tolist(), (chain.starts[begins] - at[rows]).tolist(), (chain.ends[ends] - at[rows]).tolist(), strict=True)
+
+
+def _added(part: np.ndarray, at: np.ndarray, model: Crf) -> Iterator[tuple[int, int, int]]:
+    if len(at) != 2 or len(part) <= LONG:
+        yield from _tagged(part, at, model)
+        return
+    bits, held = _file_of(part), None
+    for low, high in _lines(part):
+        for _, start, end in _tagged(part[low:high], np.array([0, high - low]), model, bits):
+            if held and start == 0 and held[1] == low:
+                held = (held[0], low + end)
+                continue
+            if held:
+                yield 0, *held
+            held = (low + start, low + end)
+    if held:
+        yield 0, *held
+
+
+def _clear(found: list[tuple[int, int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those spans that overlap no base span."""
+    joined: list[list[int]] = []
+    for a, _, b in found:  # in order of their starts
+        if joined and a <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], b)
+        else:
+            joined.append([a, b])
+    ends = [b for _, b in joined]
+    out = []
+    for start, end in spans:
+        k = bisect_left(ends, start + 1)  # the first that ends after the start
+        if k == len(joined) or end <= joined[k][0]:
+            out.append((start, end))
+    return out
+
+
 def scan(column: pa.Array, model: Crf | None) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """Of each row, its base spans and the added ones, as (start, kind, end) in code points."""
     data, offsets = as_bytes(column)
@@ -341,23 +438,18 @@ def scan(column: pa.Array, model: Crf | None) -> list[tuple[list[tuple[int, int,
     for low, high in pieces(offsets, PIECE):
         part, at = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
         found = base(part, at)
-        points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
-        added: list[list[tuple[int, int, int]]] = [[] for _ in found]
+        added: list[list[tuple[int, int]]] = [[] for _ in found]
         if model is not None:
-            chain = Chain(part, at)
-            tags = model.decode(chain)
-            begins = np.flatnonzero(tags == 1)
-            for b in begins.tolist():
-                e = b + 1
-                while e < len(tags) and tags[e] == 2 and not chain.first[e]:
-                    e += 1
-                row = int(chain.row[b])
-                start, end = int(chain.starts[b] - at[row]), int(chain.ends[e - 1] - at[row])
-                if points[at[row] + end] - points[at[row] + start] >= LEAST and all(end <= x or start >= y for x, _, y in found[row]):
-                    added[row].append((start, 3, end))
+            for row, start, end in _added(part, at, model):
+                added[row].append((start, end))
         for k, (mine, more) in enumerate(zip(found, added, strict=True)):
-            place = lambda x: int(points[at[k] + x] - points[at[k]])  # noqa: B023, E731
-            out.append(tuple([(place(a), kind, place(b)) for a, kind, b in x] for x in (mine, more)))
+            more = _clear(mine, more)
+            if not mine and not more:
+                out.append(([], []))
+                continue
+            point = _points(part[at[k] : at[k + 1]], [y for a, _, b in mine for y in (a, b)] + [y for x in more for y in x])
+            spans_of = ([(point[a], kind, point[b]) for a, kind, b in mine], [(point[a], 3, point[b]) for a, b in more if point[b] - point[a] >= LEAST])
+            out.append(spans_of)
     return out
 
 

@@ -46,8 +46,36 @@ def _widths(ids: np.ndarray) -> np.ndarray:
 _SMALL = np.array([k.bit_length() for k in range(1 << 16)], np.uint8)
 
 
+#: Groups that are packed or read at once, which bounds memory.
+TOGETHER = 512
+
+
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words, and the offset in them of each group."""
+    if len(ids) <= TOGETHER * GROUP:
+        return _encode(ids)
+    words, offsets, held = [], [], 0
+    for low in range(0, len(ids), TOGETHER * GROUP):
+        more, at = _encode(ids[low : low + TOGETHER * GROUP])
+        words.append(more)
+        offsets.append(at + held)
+        held += len(more)
+    return np.concatenate(words), np.concatenate(offsets)
+
+
+def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
+    """The n ids that `encode` packed."""
+    if len(offsets) <= TOGETHER:
+        return _decode(words, offsets, n)
+    out, ends = np.empty(n, np.uint64), np.append(offsets, len(words))
+    for low in range(0, len(offsets), TOGETHER):
+        high = min(low + TOGETHER, len(offsets))
+        part = slice(low * GROUP, min(n, high * GROUP))
+        out[part] = _decode(words[ends[low] : ends[high]], offsets[low:high] - ends[low], part.stop - part.start)
+    return out
+
+
+def _encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ids = np.asarray(ids, np.uint64)
     groups = -(-len(ids) // GROUP)
     if not groups:
@@ -87,8 +115,7 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets[:-1]
 
 
-def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
-    """The n ids that `encode` packed."""
+def _decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     groups = len(offsets)
     if not groups:
         return np.zeros(0, np.uint64)

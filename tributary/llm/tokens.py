@@ -2,8 +2,9 @@
 
 Encoding. The tokenizer never joins across some places of a text: before a space between two characters that are not
 white space, around a line feed between two such, and between a letter or digit and one of ``. , ; : ! ?``. Texts are cut
-there in numpy, each distinct segment is encoded once by the tokenizers library, and a bounded table by 64-bit hash keeps
-its ids; long segments are not kept. The ids of a text are those of its segments in order.
+there in numpy, each distinct segment is encoded once by the tokenizers library, and a bounded table keeps its ids by a
+64-bit hash and its bytes, which are compared; long segments are not kept. The ids of a text are those of its segments in
+order. A text of more than ``LONG`` bytes goes through in spans that end at such places.
 
 Files. Documents are range-partitioned and sorted by id; each partition writes Parquet rows, one for each block: shard,
 block, ids before it in the shard, the documents' ids and counts, Simple-8b words and the word offset of each group of 128
@@ -11,7 +12,9 @@ ids. A block holds whole documents and ends once it has ``BLOCK_IDS`` ids. `read
 before a shard are sums over shards, one number each.
 
 Defined cases: a null or empty text has the end id only; a null doc_id sorts first; repeated doc_ids are ordered by a hash
-of their text, and equal rows give equal entries one after another.
+of their text, and equal rows give equal entries one after another; an empty table gives no files with rows and no rows;
+extra columns are not read, whatever their names; a text has no greatest length but that of an Arrow cell: its task holds its
+bytes, ids and words, about 6 bytes of memory for each of its bytes.
 """
 
 from __future__ import annotations
@@ -28,11 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import shared, simple8b
-from tributary.llm.textcore import as_bytes, hashes, pieces
+from tributary.llm.textcore import as_bytes, hashes, mix, pieces
 
+U = np.uint64
 END_ID = 2
 BLOCK_IDS = 1 << 16
 PIECE = 1 << 20
+#: A text of more bytes is encoded in spans.
+LONG = 4 << 20
 #: Segments that are kept at most, and the longest of them in bytes; at the limit those seen once since the last time go.
 KEPT, KEPT_BYTES = 1 << 19, 32
 #: Bytes of input for each output shard, about.
@@ -77,6 +83,16 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _packed(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The first KEPT_BYTES bytes of each segment as 64-bit numbers, zeros after its end."""
+    padded = np.concatenate([data, np.zeros(KEPT_BYTES + 8, np.uint8)])
+    eights = np.ndarray((len(data) + KEPT_BYTES + 1,), "<u8", padded, 0, (1,))
+    return np.stack([eights[starts + k] & _MASKS[np.clip(sizes - k, 0, 8)] for k in range(0, KEPT_BYTES, 8)], axis=1)
+
+
 class Encoder:
     """Texts to ids, as the tokenizers library gives them; keeps the ids of short segments, a bounded number of them."""
 
@@ -89,6 +105,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.keys, self.starts, self.sizes, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int16), np.zeros(0, np.uint32)
+        self.bytes = np.zeros((0, KEPT_BYTES // 8), np.uint64)
         self.seen = np.zeros(0, bool)  # which were met again
 
     def _forget(self) -> None:
@@ -99,25 +116,49 @@ class Encoder:
         sizes = self.sizes[keep].astype(np.int64)
         ends = np.cumsum(sizes)
         self.pool = self.pool[np.repeat(self.starts[keep] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        self.keys, self.starts, self.sizes, self.seen = self.keys[keep], (ends - sizes).astype(np.int32), self.sizes[keep], np.zeros(len(keep), bool)
+        self.keys, self.bytes, self.starts, self.sizes, self.seen = self.keys[keep], self.bytes[keep], (ends - sizes).astype(np.int32), self.sizes[keep], np.zeros(len(keep), bool)
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and how many each row has."""
+        if len(offsets) != 2 or len(data) <= LONG:
+            return self._encode(data, offsets)
+        out, low, size = [], 0, PIECE
+        while low < len(data):
+            part = data[low : low + size]
+            cut = len(part) if low + size >= len(data) else int(segments(part, np.array([0, len(part)]))[-1])
+            if not cut:  # one segment so far
+                size *= 2
+                continue
+            out.append(self._encode(part[:cut], np.array([0, cut]))[0])
+            low, size = low + cut, PIECE
+        ids = np.concatenate(out)
+        return ids, np.array([len(ids)])
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = len(offsets) - 1
         starts = segments(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(rows, np.int64)
         ends = np.append(starts[1:], len(data))
         long = ends - starts > KEPT_BYTES
-        keys = hashes(_VALUES, data, starts, ends)
+        keys = self._hashes(data, starts, ends)
+        packed = _packed(data, starts, ends - starts)
         keys[long] = np.flatnonzero(long).astype(np.uint64)  # apart from all others of this call
-        kinds, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        packed[long, 0], packed[long, 1:] = keys[long], ~U(0)
+        while True:
+            kinds, first, which = np.unique(keys, return_index=True, return_inverse=True)
+            strange = (packed != packed[first][which]).any(axis=1)  # other bytes of the same hash
+            if not strange.any():
+                break
+            keys[strange] = mix(keys[strange] + U(1))
         single = long[first]
         at = np.minimum(np.searchsorted(self.keys, kinds), max(len(self.keys) - 1, 0))
-        known = (self.keys[at] == kinds) & ~single if len(self.keys) else np.zeros(len(kinds), bool)
+        taken = self.keys[at] == kinds if len(self.keys) else np.zeros(len(kinds), bool)
+        known = taken & ~single
+        known[known] = (self.bytes[at[known]] == packed[first[known]]).all(axis=1)
         new = np.flatnonzero(~known)
         lists = self.ids([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -132,11 +173,14 @@ class Encoder:
         bounds = np.searchsorted(starts, offsets)
         sums = np.concatenate([[0], total])
         self.seen[at[known]] = True
-        short = ~single[new]
-        self._keep(kinds[new][short], sizes[short], fresh[np.repeat(short, sizes)])
+        short = ~single[new] & ~taken[new]
+        self._keep(kinds[new][short], packed[first[new][short]], sizes[short], fresh[np.repeat(short, sizes)])
         return out, sums[bounds[1:]] - sums[bounds[:-1]]
 
-    def _keep(self, kinds: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return hashes(_VALUES, data, starts, ends)
+
+    def _keep(self, kinds: np.ndarray, packed: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
         if len(self.keys) + len(kinds) > KEPT:
             self._forget()
             return
@@ -144,6 +188,7 @@ class Encoder:
         self.pool = np.concatenate([self.pool, ids])
         into = np.searchsorted(self.keys, kinds)
         self.keys = np.insert(self.keys, into, kinds)
+        self.bytes = np.insert(self.bytes, into, packed, axis=0)
         self.starts = np.insert(self.starts, into, starts.astype(np.int32))
         self.sizes = np.insert(self.sizes, into, sizes.astype(np.int16))
         self.seen = np.insert(self.seen, into, False)
@@ -195,13 +240,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     shared.tune(spark)
     bytes_in = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, bytes_in // SHARD_BYTES))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tie"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("tie"))
     rows = rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     rows.mapInArrow(_writer(tokenizer or vocabulary(), end_id), _SCHEMA).write.parquet(folder)
 
 
-
-
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for shard, start, doc_ids, counts, n_ids, offsets, words in zip(*[batch.column(k).to_pylist() for k in range(7)], strict=True):
