@@ -8,6 +8,7 @@ import pytest
 
 from tests.oracle import actual, expected
 from tributary.llm import decontaminate as op
+from tributary.llm import shared
 from tributary.llm.textcore import Words, as_bytes, grams
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -85,14 +86,25 @@ def test_every_shared_span_of_ten_has_a_fingerprint():
         assert marks[0] & marks[1]
 
 
-def test_blocks_of_the_benchmark_give_the_same(spark):
+def test_full_sieves_and_hot_windows_give_the_same(spark, monkeypatch):
     rng = random.Random(5)
-    items = [(k, sentence(rng, 14)) for k in range(20)]
-    docs = [(k, sentence(rng, 20) + " " + items[k % 20][1] + " " + items[(k * 7) % 20][1]) for k in range(25)]
+    items = [(k, sentence(rng, 14)) for k in range(20)] + [(99, sentence(rng, 3))]
+    docs = [(k, sentence(rng, 20) + " " + items[k % 20][1] + " " + items[(k * 7) % 20][1]) for k in range(25)] + [(50 + k, sentence(rng, 9) + " " + items[0][1]) for k in range(20)]
+    monkeypatch.setattr(op.Sieve, "may", lambda self, hashes: np.ones(len(hashes), bool))
+    monkeypatch.setattr(shared, "HOT_LEAST", 3)
+    check(spark, docs, items)
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    small, whole = op.annotate(d, b, block_bytes=300), op.annotate(d, b)
-    assert len(op.blocks(b, "item_id", "text", 300)) > 3
-    assert sorted(map(str, small.collect())) == sorted(map(str, whole.collect()))
+    clean = {x[0] for x in brute(docs, items) if not x[-1]}
+    assert {x.doc_id for x in op.decontaminate(d, b).collect()} == clean
+
+
+def test_a_sieve_lets_through_what_it_was_made_of(spark):
+    g = np.random.default_rng(6)
+    values = g.integers(0, 1 << 64, 5000, dtype=np.uint64)
+    frame = spark.createDataFrame([(int(x),) for x in values[:2500].view(np.int64)], "h long")
+    held = op.Sieve(frame, "h")
+    assert held.may(values[:2500]).all() and held.may(values[2500:]).mean() < 0.01
+    assert not op.Sieve(frame.where("1 = 0"), "h").may(values).any()
 
 
 def test_filter_keeps_columns_and_clean_documents(spark):

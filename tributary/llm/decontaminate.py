@@ -2,41 +2,48 @@
 
 Both sides are cut into 5-word grams; in every run of 6 consecutive grams (10 words) the one of least hash, the last of
 equals, is a fingerprint. Two texts that share 10 words share such a run, so they share its fingerprint: no long enough
-shared span is missed. The fingerprints of the benchmark are held by every task, those of a document are looked up in
-them, and each hit is extended to the 10-word windows around it, which are compared word for word.
+shared span is missed. A fingerprint is extended to the 10-word windows that it stands for. Fingerprints of documents
+that may be among those of the benchmark, with their windows, are joined to the benchmark's by fingerprint and
+window; only windows of equal words are hits.
 
 An item of fewer than 10 words (but at least one) is one window; grams of exactly its length are looked up for it, which
 is winnowing with a run of one gram.
 
-The benchmark is the bounded side. It is read in blocks of at most ``block_bytes`` of text; all documents pass each
-block, with a checkpoint between blocks, so its size has no limit but time, and a task holds one block. Documents are
-never shuffled.
+Neither side is collected. A bitmap of 2**SIEVE bits of the benchmark's fingerprints and one of its windows, 2 MB each
+whatever its size, are made by partial aggregation and sent to all tasks; documents pass them once, and only windows
+that are found in both leave their task, so documents themselves are not shuffled. A larger benchmark fills the bitmaps,
+which lets more windows through to the join, where they end. A window that many documents hold is joined by broadcast (`shared.meet`).
+Hits are found by text, so equal texts share them; only rows whose text may have hits are joined to them.
 
 Defined cases: a null or empty text has no words, so no hit; a null item text or item_id is no item; repeated item_ids
-count once; repeated rows each give their row; extra columns are kept by `annotate` and may have any name.
+count once; repeated rows each give their row; an empty table of documents gives no rows, one of items no hits; extra columns
+are kept by `annotate` and may have any name. A text is held whole by its task, about 20 bytes of memory for each of its bytes.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tributary.llm import shared
 from tributary.llm.textcore import Words, as_bytes, grams, pieces
 
 WINDOW, GRAM = 10, 5
 RUN = WINDOW - GRAM + 1
-BLOCK_BYTES = 32 << 20
+#: Bits of a sieve, as a power of two, and of one of its parts.
+SIEVE, PART = 24, 1 << 15
 PIECE = 1 << 20
+KEY = ["one", "two"]
 
 
-def winnow(values: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    """Positions of the least of each RUN consecutive grams that lie in one row, the last of equals."""
+def marks(values: np.ndarray) -> np.ndarray:
+    """Of each run of RUN consecutive grams, the position of the least, the last of equals."""
     size = len(values) - RUN + 1
     if size <= 0:
         return np.zeros(0, np.int64)
@@ -46,134 +53,148 @@ def winnow(values: np.ndarray, inside: np.ndarray) -> np.ndarray:
         lower = now <= least
         np.copyto(least, now, where=lower)
         at[lower] = k
-    return np.unique((np.arange(size) + at)[inside])
-
+    return np.arange(size) + at
 
-class Block:
-    """What a task needs of some benchmark items: windows, their items, and the fingerprints that lead to them."""
 
-    def __init__(self, items: list[tuple[str, str]]):
-        windows: dict[int, dict[int, dict[bytes, set[str]]]] = {}
-        marks: list[np.ndarray] = []
-        for item, text in items:
-            data, offsets = as_bytes(pa.array([text]))
-            words = Words(data, offsets)
-            total = len(words.starts)
-            if not total:
+def winnow(values: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """The fingerprints: positions of the marks of runs that lie in one row."""
+    return np.unique(marks(values)[inside])
+
+
+class Sieve:
+    """A bitmap of hashes; `may` says which hashes may be among them."""
+
+    def __init__(self, hashes: DataFrame, column: str):
+        place = F.shiftrightunsigned(column, 64 - SIEVE)
+        rows = hashes.groupBy((place / PART).cast("int").alias("part")).agg(F.bitmap_construct_agg(place % PART).alias("bits"))
+        self.bits = np.zeros((1 << SIEVE) // 8, np.uint8)
+        for x in rows.collect():  # at most 2**SIEVE / PART rows of PART bits
+            self.bits[x.part * PART // 8 :][: PART // 8] = np.frombuffer(x.bits, np.uint8)
+
+    def may(self, hashes: np.ndarray) -> np.ndarray:
+        place = (hashes.astype(np.uint64) >> np.uint64(64 - SIEVE)).astype(np.int64)
+        return (self.bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def windows(words: Words, n: int, sieves: tuple[Sieve, Sieve] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, fingerprint, hash) of the windows of n words that lie in one row; with sieves only those that may be hits.
+
+    With n = WINDOW the fingerprints are winnowed: windows are looked at only around one that the first sieve lets through."""
+    values, inside = grams(words.hashes, words.row, n)
+    if n < WINDOW:
+        starts = np.flatnonzero(inside if sieves is None else inside & sieves[1].may(values))
+        return starts, values[starts], values[starts]
+    five, _ = grams(words.hashes, words.row, GRAM)
+    at = marks(five)
+    starts = np.flatnonzero(inside)
+    if sieves is not None and len(starts):
+        prints = np.unique(at[starts])
+        known = np.zeros(len(five), bool)
+        known[prints[sieves[0].may(five[prints])]] = True
+        starts = starts[known[at[starts]]]
+        starts = starts[sieves[1].may(values[starts])]
+    return starts, five[at[starts]], values[starts]
+
+
+_WINDOW = "mark long, window long, start long, n int, words binary"
+_FOUND = pa.struct([("mark", pa.int64()), ("window", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("words", pa.binary())])
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, text) to one row for each window of an item."""
+    for batch in batches:
+        data, offsets = as_bytes(batch.column(1))
+        for k, item in enumerate(batch.column(0).to_pylist()):
+            words = Words(data[offsets[k] : offsets[k + 1]], np.array([0, offsets[k + 1] - offsets[k]]))
+            n = min(WINDOW, len(words.starts))
+            if not n:
                 continue
-            n = min(WINDOW, total)
-            hashes, _ = grams(words.hashes, words.row, n)
-            for k, h in enumerate(hashes.tolist()):
-                windows.setdefault(n, {}).setdefault(h, {}).setdefault(words.text(k, n), set()).add(item)
-            if n == WINDOW:
-                five, _ = grams(words.hashes, words.row, GRAM)
-                marks.append(five[winnow(five, np.ones(max(0, total - WINDOW + 1), bool))])
-        self.windows = windows
-        self.keys = {n: np.array(sorted(found), np.uint64) for n, found in windows.items()}
-        self.marks = np.unique(np.concatenate(marks)) if marks else np.zeros(0, np.uint64)
-        self.sieve = {n: self._sieve(k) for n, k in [*self.keys.items(), (0, self.marks)]}
-
-    @staticmethod
-    def _sieve(keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(1 << 16, bool)
-        out[(keys >> np.uint64(48)).astype(np.int64)] = True
-        return out
-
-    def _in(self, n: int, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Indices of values that are among the sorted keys."""
-        if not len(keys):
-            return np.zeros(0, np.int64)
-        maybe = np.flatnonzero(self.sieve[n][(values >> np.uint64(48)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(keys, values[maybe]), len(keys) - 1)
-        return maybe[keys[at] == values[maybe]]
-
-    def hits(self, words: Words) -> Iterator[tuple[int, int, set[str]]]:
-        """Each window of the benchmark in these rows: its first word, its number of words, its items."""
-        for n in self.windows:
-            if n < WINDOW:
-                values, inside = grams(words.hashes, words.row, n)
-                starts = self._in(n, values, self.keys[n])
-                starts = starts[inside[starts]]
-            else:
-                five, _ = grams(words.hashes, words.row, GRAM)
-                values, inside = grams(words.hashes, words.row, n)
-                prints = winnow(five, inside)
-                found = prints[self._in(0, five[prints], self.marks)]
-                starts = np.unique((found[:, None] - np.arange(RUN)).ravel())
-                starts = starts[(starts >= 0) & (starts < len(values))]
-                starts = starts[inside[starts]]
-                starts = starts[self._in(n, values[starts], self.keys[n])]
-            held = self.windows[n]
-            for at, value in zip(starts.tolist(), values[starts].tolist(), strict=True):
-                if items := held[value].get(words.text(at, n)):
-                    yield at, n, items
-
-
-def scan(column: pa.Array, block: Block) -> tuple[np.ndarray, list[list[int]], list[set[str]]]:
-    """Of each row: its number of words, the hit ranges of words as [start, end, start, end ...], and its items."""
-    data, offsets = as_bytes(column)
-    n_words = np.zeros(len(offsets) - 1, np.int64)
-    ranges: list[list[int]] = [[] for _ in range(len(n_words))]
-    items: list[set[str]] = [set() for _ in range(len(n_words))]
-    for low, high in pieces(offsets, PIECE):
-        words = Words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-        n_words[low:high] = words.counts
-        for at, n, found in sorted(block.hits(words), key=lambda x: x[:2]):
-            row = int(words.row[at])
-            start = at - int(words.first[row])
-            mine = ranges[low + row]
-            if mine and start <= mine[-1]:
-                mine[-1] = max(mine[-1], start + n)
-            else:
-                mine += [start, start + n]
-            items[low + row] |= found
-    return n_words, ranges, items
-
-
-def union(a: list[int], b: list[int]) -> list[int]:
-    """Two lists of sorted ranges as one."""
-    out: list[int] = []
-    for start, end in sorted([*zip(a[::2], a[1::2], strict=True), *zip(b[::2], b[1::2], strict=True)]):
-        if out and start <= out[-1]:
-            out[-1] = max(out[-1], end)
-        else:
-            out += [start, end]
-    return out
-
-
-def blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list[DataFrame]:
-    """The benchmark's items in frames of about block_bytes of text at most, each small enough for one task."""
+            starts, mark, values = windows(words, n)
+            text = pa.array([words.text(x, n) for x in starts.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([item] * len(starts), pa.string()), pa.array(mark.view(np.int64)), pa.array(values.view(np.int64)), pa.array(np.full(len(starts), n, np.int32)), text], names=["item", "mark", "window", "n", "words"])
+
+
+def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
+    """(mark, window, n, words, items): each window of the benchmark once, with the items that hold it."""
     rows = benchmark.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    return [rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]
-
-
-def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(row, n_words, ranges, items): the input's row as a struct, its words, hit word ranges, and items found."""
-    spark = docs.sparkSession
-    shared.tune(spark)
-    frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("ranges"), F.array().cast("array<string>").alias("items"))
-    parts = blocks(benchmark, item, item_text, block_bytes)
-    for k, part in enumerate(parts):
-        block = spark.sparkContext.broadcast(Block([(x.item, x.text) for x in part.collect()]))  # at most about block_bytes
-        frame = frame.mapInArrow(_pass(text, block, k > 0), frame.schema)
-        if k + 1 < len(parts):
-            frame = shared.cut(frame)
-    return frame
-
-
-def _pass(text: str, block, more: bool):
+    found = rows.mapInArrow(_item_windows, "item string, mark long, window long, n int, words binary")
+    return shared.cut(found.groupBy("mark", "window", "n", "words").agg(F.array_sort(F.collect_set("item")).alias("items")))
+
+
+def scan(docs: DataFrame, table: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """(row, one, two, n_words, found): the kept columns as a struct, two hashes of the text, its number of words, and the windows
+    that may be the benchmark's."""
+    shared.tune(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast((Sieve(table, "mark"), Sieve(table, "window"), sorted(x.n for x in table.select("n").distinct().collect())))
+    body = F.col(f"`{text}`")
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
+    frame = docs.select(row.alias("row"), F.xxhash64(body).alias("one"), F.xxhash64(F.lit(1), body).alias("two"), body.alias("text"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *sieves, lengths = held.value
         for batch in batches:
-            row = batch.column(0)
-            n_words, ranges, items = scan(row.field(row.type.get_field_index(text)), block.value)
-            if more:
-                ranges = [union(a, b) for a, b in zip(ranges, batch.column(2).to_pylist(), strict=True)]
-                items = [a | set(b) for a, b in zip(items, batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([row, pa.array(n_words), pa.array(ranges, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["row", "n_words", "ranges", "items"])
+            data, offsets = as_bytes(batch.column(3))
+            counts, owner, columns = np.zeros(batch.num_rows, np.int64), [], [[] for _ in range(5)]
+            for low, high in pieces(offsets, PIECE):
+                words = Words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                counts[low:high] = words.counts
+                for n in lengths:
+                    starts, mark, values = windows(words, n, tuple(sieves))
+                    row = words.row[starts]
+                    owner.append(low + row)
+                    text = np.array([words.text(x, n) for x in starts.tolist()], object)
+                    for held_, x in zip(columns, (mark.view(np.int64), values.view(np.int64), starts - words.first[row], np.full(len(starts), n, np.int32), text), strict=True):
+                        held_.append(x)
+            owners = np.concatenate([np.zeros(0, np.int64), *owner])
+            order = np.argsort(owners, kind="stable")
+            ends = np.searchsorted(owners[order], np.arange(batch.num_rows + 1)).astype(np.int32)
+            cells = [pa.array(np.concatenate(x)[order] if x else [], f.type) for x, f in zip(columns, _FOUND, strict=True)]
+            found = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(cells, fields=list(_FOUND)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(counts), found], names=["row", "one", "two", "n_words", "found"])
+
+    schema = T.StructType([frame.schema["row"], T.StructField("one", T.LongType()), T.StructField("two", T.LongType()), T.StructField("n_words", T.LongType())])
+    schema.add("found", T.ArrayType(T._parse_datatype_string(f"struct<{_WINDOW.replace(' ', ':').replace(',:', ',')}>")))
+    return frame.mapInArrow(run, schema)
+
+
+def hits(scanned: DataFrame, table: DataFrame) -> DataFrame:
+    """(one, two, ranges, items) of each text with a hit: its hit ranges of words as [start, end, start, end ...], and its items."""
+    found = scanned.where(F.size("found") > 0).select(*KEY, "found").dropDuplicates(KEY).select(*KEY, F.explode("found").alias("x")).select(*KEY, "x.*")
+    found = shared.cut(found)
+    key = ["mark", "window"]
+    hot = shared.hot_keys(found.groupBy(*key).agg(F.count("*").alias("n")), *key)
+    met = shared.meet(found, table.select(*key, F.col("n").alias("length"), F.col("words").alias("same"), "items"), key, hot).where("n = length AND words = same")
+    grouped = met.groupBy(*KEY).agg(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end"))).alias("spans"), F.collect_set("items").alias("items"))
+    # spans in order, each joined to the last range if they touch
+    ranges = F.aggregate(
+        F.array_sort("spans"), F.array().cast("array<long>"),
+        lambda out, x: F.when((F.size(out) > 0) & (x["start"] <= F.element_at(out, -1)), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.greatest(F.element_at(out, -1), x["end"])))).otherwise(F.concat(out, F.array(x["start"], x["end"]))),
+    )
+    return shared.cut(grouped.select(*KEY, ranges.alias("ranges"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items")))
+
+
+def _maybe(found: DataFrame):
+    """A column that says whether a row's text (one) may be among those found."""
+    held = found.sparkSession.sparkContext.broadcast(Sieve(found, "one"))
+
+    @F.pandas_udf("boolean")
+    def maybe(one: pd.Series) -> pd.Series:
+        return pd.Series(held.value.may(one.to_numpy().view(np.uint64)))
+
+    return maybe("one")
+
 
-    return run
+def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(row, n_words, ranges, items): the kept columns (all, if none are named) as a struct, the text's words, hit word ranges, and
+    items found."""
+    table = benchmark_windows(benchmark, item, item_text)
+    scanned = shared.cut(scan(docs, table, text, docs.columns if keep is None else keep))
+    found = hits(scanned, table)
+    # a row without a window that may be a hit has none, and meets nothing
+    clean = scanned.where(F.size("found") == 0).select("row", "n_words", F.array().cast("array<long>").alias("ranges"), F.array().cast("array<string>").alias("items"))
+    rest = scanned.where(F.size("found") > 0).select("row", "n_words", *KEY).join(found, KEY, "left")
+    empty = lambda name, kind: F.coalesce(name, F.array().cast(f"array<{kind}>")).alias(name)
+    return clean.unionByName(rest.select("row", "n_words", empty("ranges", "long"), empty("items", "string")))
 
 
 def hit_words(ranges="ranges"):
@@ -181,14 +202,20 @@ def hit_words(ranges="ranges"):
     return F.aggregate(F.transform(ranges, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that no benchmark item occurs in, with all their columns."""
-    return annotate(docs, benchmark).where(F.size("ranges") == 0).select("row.*")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The documents that no benchmark item occurs in, with all their columns; only those that may hold one are shuffled."""
+    table = benchmark_windows(benchmark)
+    found = hits(scan(docs, table, text, []), table).select(*KEY)
+    body = F.col(f"`{text}`")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(body).alias("one"), F.xxhash64(F.lit(1), body).alias("two"))
+    rows = rows.withColumn("maybe", _maybe(found))
+    clean = rows.where("NOT maybe").select("row")
+    return clean.unionByName(rows.where("maybe").join(found, KEY, "left_anti").select("row")).select("row.*")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document: words, hit words, items, and whether it is contaminated."""
-    found = annotate(docs.select("doc_id", "text"), benchmark)
+    found = annotate(docs, benchmark, keep=["doc_id"])
     return found.select(
         F.col("row.doc_id").alias("doc_id"), "n_words", hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (F.size("ranges") > 0).alias("contaminated"),

@@ -51,13 +51,13 @@ HOT_SHARE = 1000
 HOT_LEAST = 512
 
 
-def hot_keys(counts: DataFrame, key: str) -> DataFrame | None:
+def hot_keys(counts: DataFrame, *key: str) -> DataFrame | None:
     """The hot keys of counts (key, n), one row each and at most HOT_SHARE; None if there are none."""
-    found = counts.select(key, "n").where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), key).limit(HOT_SHARE).collect()
-    return counts.sparkSession.createDataFrame([(x[0],) for x in found], counts.select(key).schema) if found else None
+    found = counts.select(*key, "n").where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), *key).limit(HOT_SHARE).collect()
+    return counts.sparkSession.createDataFrame([tuple(x)[:-1] for x in found], counts.select(*key).schema) if found else None
 
 
-def meet(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+def meet(rows: DataFrame, table: DataFrame, key: str | list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
     """Rows joined to a table of one row for each key; the hot keys' rows stay where they are, and their part of the table,
     at most HOT_SHARE rows, is broadcast."""
     if hot is None:
