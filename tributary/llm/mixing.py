@@ -35,6 +35,8 @@ BITS, LEVELS = 12, 4
 SEED = 20240611
 #: The power of a document's size that its inclusion probability is proportional to, and the size classes of an octave.
 TILT, STEPS = 0.5, 16
+#: Texts at a cut are found by 2**SIFT buckets of their digests.
+SIFT = 16
 #: Sources are collected with their sizes; more than this many are refused.
 MAX_SOURCES = 1_000_000
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -141,24 +143,37 @@ def cuts(rows: DataFrame, aims: DataFrame) -> DataFrame:
 def copies(docs: DataFrame, text: str = "text", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, keep: bool = False, tilt: float = TILT, seed: int = SEED) -> DataFrame:
     """(row, size, source_size, target, p, copies): each row, and how often the mix takes it; p is the inclusion probability of
     its last copy, null where none is drawn. keep: row has all columns, else doc_id."""
-    base = docs.select((F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep else F.struct("doc_id")).alias("row"), "doc_id", "source", F.xxhash64(F.col(f"`{text}`")).alias("digest"), words(text).alias("size"))
-    slim = shared.cut(base.select("doc_id", "source", "digest", "size").withColumn("step", step()))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep else F.struct("doc_id")
+    base = docs.select(row.alias("row"), "doc_id", "source", F.xxhash64(F.col(f"`{text}`")).alias("digest"), F.col(f"`{text}`").alias("text"))
+    sized = base.select("row", "doc_id", "source", "digest", words("text").alias("size"))
+    slim = shared.cut(sized.select("doc_id", "source", "digest", "size").withColumn("step", step()))
     aims = plan(slim, weights, share, cap)
     scale = shared.cut(scales(slim, aims, tilt))
     given = F.broadcast(aims.withColumnRenamed("source", "of"))  # one row for each source, as the next two
     scaled = F.broadcast(scale.select(F.col("source").alias("by"), "certain", "scale"))
-    drawn = slim.join(scaled, F.expr("source <=> by"))
-    edge = cuts(ranked(drawn, tilt, seed).where("p IS NOT NULL").select("source", "size", "key"), scale)
+    drawn = ranked(slim.join(scaled, F.expr("source <=> by")), tilt, seed).where("p IS NOT NULL")
+    edge = cuts(drawn.select("source", "size", "key"), scale)
     held = F.broadcast(edge.withColumnRenamed("source", "at"))
-    out = base.withColumn("step", step()) if keep else slim.select(F.struct("doc_id").alias("row"), "doc_id", "source", "digest", "size", "step")
-    out = out.join(given, F.expr("source <=> of")).join(scaled, F.expr("source <=> by"), "left").join(held, F.expr("source <=> at"), "left")
-    out = ranked(out, tilt, seed)
+
+    def settled(rows: DataFrame) -> DataFrame:
+        rows = rows.join(given, F.expr("source <=> of")).join(scaled, F.expr("source <=> by"), "left").join(held, F.expr("source <=> at"), "left")
+        return ranked(rows, tilt, seed)
+
+    out = near = slim.select(F.struct("doc_id").alias("row"), "doc_id", "source", "digest", "size", "step")
+    if keep:
+        out = sized.withColumn("step", step())
+        # words are counted again for the few texts that may be at a cut, not for all: at most 2**SIFT buckets are broadcast
+        bucket = F.pmod("digest", F.lit(1 << SIFT)).alias("bucket")
+        few = drawn.join(held, F.expr("source <=> at AND key = cut")).select(bucket).distinct()
+        near = base.withColumn("bucket", bucket).join(F.broadcast(shared.cut(few)), "bucket", "left_semi")
+        near = near.withColumn("size", words("text")).withColumn("step", step()).select("row", "doc_id", "source", "digest", "size", "step")
+    out, near = settled(out), settled(near)
     more = F.when(F.col("p").isNotNull(), F.col("key") < F.col("cut")).otherwise(F.coalesce(F.col("step") >= F.col("certain"), F.lit(False)))
     tie = F.coalesce(F.col("p").isNotNull() & (F.col("key") == F.col("cut")), F.lit(False))
     names = ["row", "size", "source_size", "target", "p"]
     plain = out.where(~tie).select(*names, (F.col("whole") + more.cast("int")).alias("copies"))
     # of the last bin, the rows that begin within the words left and end nearer to them than without
-    ties = shared.cut(out.where(tie).select(*names, "source", "doc_id", "digest", "whole", "left", F.spark_partition_id().alias("part")))
+    ties = shared.cut(near.where(tie).select(*names, "source", "doc_id", "digest", "whole", "left", F.spark_partition_id().alias("part")))
     parts = ties.groupBy("source", "part").agg(F.sum("size").alias("sum"))
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(F.col("source").alias("of"), F.col("part").alias("at"), F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("before"))
