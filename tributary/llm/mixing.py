@@ -112,10 +112,11 @@ def ranked(rows: DataFrame, tilt: float, seed: int) -> DataFrame:
     (0, 1) in order; for rows that are neither certain nor out of question."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "digest"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     chance = F.least(F.greatest(F.col("scale") * pull(tilt), F.lit(1e-9)), F.lit(1 - 1e-9))
-    rank = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
+    # rank / (1 + rank), written with u and p once each: repeated, they make methods too long for the JIT compiler
+    share = 1 / (1 + (1 / u - 1) / (1 / F.col("p") - 1))
     top = F.lit(float((1 << (BITS * LEVELS)) - 1))
     drawn = (F.col("step") >= 0) & (F.col("step") < F.col("certain"))
-    return rows.withColumn("p", F.when(drawn, chance)).withColumn("key", F.least(rank / (1 + rank) * (top + 1), top).cast("long"))
+    return rows.withColumn("p", F.when(drawn, chance)).withColumn("key", F.least(share * (top + 1), top).cast("long"))
 
 
 def cuts(rows: DataFrame, aims: DataFrame) -> DataFrame:
