@@ -190,3 +190,33 @@ def test_hot_keys_and_clashing_names(spark, monkeypatch):
     assert {named[k] for k in range(18)} == {0} and all(named[k] == k for k in range(18, 24))
     kept = op.keep_one(docs)
     assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == [0, *range(18, 24)]
+
+
+def test_hot_keys_are_counted_without_a_join(spark, monkeypatch):
+    count, plans = shared.hot_keys, []
+
+    def counted(counts, *key):
+        plans.append(counts._jdf.queryExecution().optimizedPlan().toString())
+        return count(counts, *key)
+
+    monkeypatch.setattr(shared, "hot_keys", counted)
+    rng = random.Random(11)
+    base = text(rng, 120)
+    rows = [edited(rng, base, 1) for _ in range(30)] + [text(rng, 50) for _ in range(6)]
+    named = {x.doc_id: x.class_id for x in op.classes(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert {named[k] for k in range(30)} == {0} and all(named[k] == k for k in range(30, 36))
+    assert plans and not [x for x in plans if "Join" in x]  # a frame that is not cut would run its joins again
+
+
+def test_candidates_grow_with_a_group_and_not_with_its_square(spark):
+    rng = random.Random(12)
+    base = text(rng, 150)
+    docs = [(k, edited(rng, base, 2)) for k in range(400)]
+
+    def pairs(n):
+        frame = spark.createDataFrame(docs[:n], "doc_id long, text string")
+        nodes = op.texts(frame, op.idf_table(frame))[1]
+        return op.candidates(nodes)[0].count()
+
+    small, large = pairs(200), pairs(400)
+    assert large < 3 * small and large <= 400 * 3 * op.BANDS

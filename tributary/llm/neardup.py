@@ -266,9 +266,10 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = pairs.unionByName(stars.where(f"node <> {leader}").select(F.least("node", leader).alias("low"), F.greatest("node", leader).alias("high")))
     pairs = shared.cut(pairs.distinct())
     signs = nodes.select("node", "samples")
+    # hot keys of both sides before any join: counted on the joined pairs, they would run the first join once more
+    hot = {side: shared.hot_keys(pairs.groupBy(side).agg(F.count("*").alias("n")), side) for side in ("low", "high")}
     for side, name in (("low", "one"), ("high", "two")):
-        hot = shared.hot_keys(pairs.groupBy(side).agg(F.count("*").alias("n")), side)
-        pairs = shared.meet(pairs, signs.toDF(side, name), side, hot)
+        pairs = shared.meet(pairs, signs.toDF(side, name), side, hot[side])
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
