@@ -88,6 +88,34 @@ def test_segments_of_equal_hash_are_told_apart(plain, monkeypatch):
         assert encoded(held, texts) == [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_new_segments_are_encoded_many_in_one_text(plain, monkeypatch):
+    held, rng, given_ = tokens.Encoder(tokens.vocabulary()), random.Random(6), []
+    ids = held.ids
+    monkeypatch.setattr(held, "ids", lambda texts: given_.extend(texts) or ids(texts))
+    text = "".join(" " + "".join(rng.choices("abcdéñ", k=8)) for _ in range(5000))
+    assert encoded(held, [text]) == [plain.encode(text, add_special_tokens=False).ids]
+    assert len(given_) < 200
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([" a", " é", " don't", " 'll", " 12", " x.y", " <|endoftext|>", " \u00a0", "  b", " ", ".", "\n", " 漢", " \x00", " \u0085z", "x" * 40, " " + "y" * 40]), max_size=60).map("".join), st.sampled_from([1, 2, 64]))
+def test_joined_segments_equal_the_library(text, joined):
+    was, tokens.JOINED = tokens.JOINED, joined
+    try:
+        held = tokens.encoder_of(tokens.vocabulary())
+        held.keys, held.bytes, held.starts, held.sizes, held.seen, held.pool = (x[:0] for x in (held.keys, held.bytes, held.starts, held.sizes, held.seen, held.pool))
+        assert encoded(held, [text]) == [held.tokenizer.encode(text, add_special_tokens=False).ids]
+    finally:
+        tokens.JOINED = was
+
+
+def test_a_tokenizer_that_marks_no_spaces_encodes_apart(plain):
+    held = tokens.Encoder(tokens.vocabulary())
+    held.spaced[:] = False
+    text = "some words and others " * 20
+    assert encoded(held, [text]) == [plain.encode(text, add_special_tokens=False).ids]
+
+
 def test_blocks_of_ids_are_packed_alike_whatever_is_held(monkeypatch):
     ids = np.random.default_rng(5).integers(0, 1 << 40, 5000).astype(np.uint64) >> np.random.default_rng(6).integers(0, 40, 5000).astype(np.uint64)
     words, offsets = simple8b.encode(ids)

@@ -2,8 +2,9 @@
 
 Encoding. The tokenizer never joins across some places of a text: before a space between two characters that are not
 white space, around a line feed between two such, and between a letter or digit and one of ``. , ; : ! ?``. Texts are cut
-there in numpy, each distinct segment is encoded once by the tokenizers library, and a bounded table keeps its ids by a
-64-bit hash and its bytes, which are compared; long segments are not kept. The ids of a text are those of its segments in
+there in numpy, each distinct segment is encoded once by the tokenizers library (new ones that begin with their only space
+many in one text, which it cuts there), and a bounded table keeps its ids by a 64-bit hash and its bytes, which are compared;
+long segments are not kept. The ids of a text are those of its segments in
 order. A text of more than ``LONG`` bytes goes through in spans that end at such places.
 
 Files. Documents are range-partitioned and sorted by id; each partition writes Parquet rows, one for each block: shard,
@@ -86,11 +87,32 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def _packed(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The first KEPT_BYTES bytes of each segment as 64-bit numbers, zeros after its end."""
+def _packed(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The first KEPT_BYTES bytes of each segment as 64-bit numbers, zeros after its end; one array for each place."""
     padded = np.concatenate([data, np.zeros(KEPT_BYTES + 8, np.uint8)])
     eights = np.ndarray((len(data) + KEPT_BYTES + 1,), "<u8", padded, 0, (1,))
-    return np.stack([eights[starts + k] & _MASKS[np.clip(sizes - k, 0, 8)] for k in range(0, KEPT_BYTES, 8)], axis=1)
+    out = [eights[starts] & _MASKS[np.minimum(sizes, 8)]]
+    for k in range(8, KEPT_BYTES, 8):
+        more = np.flatnonzero(sizes > k)  # few segments are that long
+        out.append(np.zeros(len(starts), np.uint64))
+        out[-1][more] = eights[starts[more] + k] & _MASKS[np.minimum(sizes[more] - k, 8)]
+    return out
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, a place of each, and which of them each key is; a sort that need not be stable is faster."""
+    order = np.argsort(keys)
+    held = keys[order]
+    begins = np.concatenate([[True], held[1:] != held[:-1]])
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(begins) - 1
+    return held[begins], order[begins], which
+
+
+_PLAIN = _SOLID | _LATIN
+_PLAIN[0x80:0xC0] = True
+#: Segments of one text that are encoded together.
+JOINED = 64
 
 
 class Encoder:
@@ -104,6 +126,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocab.values(), default=0) + 1, bool)  # ids of tokens that begin with a space
+        self.spaced[[k for word, k in vocab.items() if word.startswith("\u0120")]] = True
         self.keys, self.starts, self.sizes, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int16), np.zeros(0, np.uint32)
         self.bytes = np.zeros((0, KEPT_BYTES // 8), np.uint64)
         self.seen = np.zeros(0, bool)  # which were met again
@@ -121,6 +146,38 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _segment_ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some segments one after another, and how many each has. Those that are a space and then only characters
+        that are no white space are encoded many in one text: the tokenizer cuts at each space, and tokens that begin
+        with one say where."""
+        n = len(starts)
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        sizes = ends - starts
+        last = np.cumsum(sizes)
+        held = data[np.repeat(starts - (last - sizes), sizes) + np.arange(last[-1])]
+        strange = np.add.reduceat((~_PLAIN[held]).astype(np.int32), last - sizes)
+        plain = (held[last - sizes] == 32) & (strange == 1) & (sizes > 1)
+        rank = np.cumsum(plain) - 1
+        apart = np.flatnonzero(~plain)
+        together = held[np.repeat(plain, sizes)].tobytes()
+        stops = np.concatenate([[0], np.cumsum(sizes[plain])])
+        stops = np.append(stops[:-1:JOINED], stops[-1]).tolist()
+        texts = [together[a:b].decode("utf-8", "replace") for a, b in zip(stops[:-1], stops[1:], strict=True)]
+        joined = np.array(list(chain.from_iterable(self.ids(texts))), np.uint32)
+        begins = np.flatnonzero(self.spaced[joined])
+        if len(begins) != rank[-1] + 1 or len(begins) and begins[0]:  # not a tokenizer of this kind
+            plain, apart, joined, begins = np.zeros(n, bool), np.arange(n), joined[:0], begins[:0]
+        lists = self.ids([held[a:b].tobytes().decode("utf-8", "replace") for a, b in zip((last - sizes)[apart].tolist(), last[apart].tolist(), strict=True)])
+        counts = np.zeros(n, np.int64)
+        counts[plain] = np.diff(np.append(begins, len(joined)))
+        counts[apart] = np.fromiter(map(len, lists), np.int64, len(lists))
+        out = np.empty(int(counts.sum()), np.uint32)
+        mine = np.repeat(plain, counts)
+        out[mine] = joined
+        out[~mine] = np.fromiter(chain.from_iterable(lists), np.uint32, len(out) - len(joined))
+        return out, counts
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and how many each row has."""
         if len(offsets) != 2 or len(data) <= LONG:
@@ -143,26 +200,30 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(rows, np.int64)
         ends = np.append(starts[1:], len(data))
-        long = ends - starts > KEPT_BYTES
+        lengths = ends - starts
+        long = lengths > KEPT_BYTES
         keys = self._hashes(data, starts, ends)
-        packed = _packed(data, starts, ends - starts)
+        packed = _packed(data, starts, lengths)
         keys[long] = np.flatnonzero(long).astype(np.uint64)  # apart from all others of this call
-        packed[long, 0], packed[long, 1:] = keys[long], ~U(0)
+        packed[0][long] = keys[long]
         while True:
-            kinds, first, which = np.unique(keys, return_index=True, return_inverse=True)
-            strange = (packed != packed[first][which]).any(axis=1)  # other bytes of the same hash
+            kinds, first, which = _distinct(keys)
+            like = first[which]
+            strange = (lengths != lengths[like]) | (packed[0] != packed[0][like])  # other bytes of the same hash
+            for k in range(1, len(packed)):
+                more = np.flatnonzero((lengths > 8 * k) & ~long)
+                strange[more] |= packed[k][more] != packed[k][like[more]]
             if not strange.any():
                 break
             keys[strange] = mix(keys[strange] + U(1))
         single = long[first]
+        held = np.stack([x[first] for x in packed], axis=1)
         at = np.minimum(np.searchsorted(self.keys, kinds), max(len(self.keys) - 1, 0))
         taken = self.keys[at] == kinds if len(self.keys) else np.zeros(len(kinds), bool)
         known = taken & ~single
-        known[known] = (self.bytes[at[known]] == packed[first[known]]).all(axis=1)
+        known[known] = (self.bytes[at[known]] == held[known]).all(axis=1)
         new = np.flatnonzero(~known)
-        lists = self.ids([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        fresh = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
+        fresh, sizes = self._segment_ids(data, starts[first[new]], ends[first[new]])
         pool = np.concatenate([self.pool, fresh])
         where, size = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64)
         where[known], size[known] = self.starts[at[known]], self.sizes[at[known]]
@@ -174,7 +235,7 @@ class Encoder:
         sums = np.concatenate([[0], total])
         self.seen[at[known]] = True
         short = ~single[new] & ~taken[new]
-        self._keep(kinds[new][short], packed[first[new][short]], sizes[short], fresh[np.repeat(short, sizes)])
+        self._keep(kinds[new][short], held[new][short], sizes[short], fresh[np.repeat(short, sizes)])
         return out, sums[bounds[1:]] - sums[bounds[:-1]]
 
     def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
