@@ -59,8 +59,8 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
         yield low, high, [x or "" for x in column.slice(low, high - low).to_pylist()]
 
 
-def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """row * BUCKETS + bucket of the n-grams of some texts, in order and each once, and how many there are; one long text
+def counted(texts: list[str]) -> np.ndarray:
+    """Two rows: row * BUCKETS + bucket of the n-grams of some texts, in order and each once, and how many there are; one long text
     goes through in parts that overlap, and no n-gram counts twice."""
     over = max(ORDERS) - 1
     if len(texts) == 1 and len(texts[0]) > PIECE:
@@ -69,9 +69,9 @@ def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             _, bucket = ngrams([texts[0][max(0, at - over) : at + PIECE]], skip=min(at, over))
             total += np.bincount(bucket, minlength=BUCKETS)
         some = np.flatnonzero(total)
-        return some, total[some]
+        return np.stack([some, total[some]])
     row, bucket = ngrams(texts)
-    return np.unique(row.astype(np.int64) * BUCKETS + bucket, return_counts=True)
+    return np.stack(np.unique(row.astype(np.int64) * BUCKETS + bucket, return_counts=True))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
